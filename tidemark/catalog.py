@@ -1,2 +1,293 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""The reference queries by name, over whole tables, with DuckDB SQL for each that SQL can express."""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import codec
+from tidemark.operators import layout, manifest, recovery, resolve, scan
+from tidemark.plans import history
+from tidemark.shipping import ship
+from tidemark.streaming import state
+
+LOW, HIGH = "000020", "000060"
+TARGETS = ["000000", "0000075", "000150", "zzz"]
+ROTATE_AT, BLOCK_SIZE, SWEEP, VALUE_LIMIT = 65_536, 4096, 1000, 20_000
+BAD_RECORDS = (7321, 8000)
+LISTING = ["CURRENT", "MANIFEST-000007", "MANIFEST-000003", "000004.log", "000009.log", "000005.sst", "000008.sst", "000011.tmp", "CURRENT.tmp", "junk"]
+LIVE = [("log", 9), ("table", 8), ("manifest", 7)]
+FIELDS = [(1, 4, 6, None), (2, None, 8, 120), (3, 7, None, None), (4, None, 12, 340)]
+
+
+def _half(h: DataFrame) -> int:
+    return history.last_seq(h) // 2
+
+
+def get_at_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    h = history.events(spark, d)
+    return resolve.live(h, _half(h)).select("k", "seq", "v")
+
+
+def latest_state(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.live(history.events(spark, d)).select("k", "seq", "v")
+
+
+def latest_seq(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.newest_seq(history.events(spark, d))
+
+
+def latest_with_kind(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.newest(history.events(spark, d)).select("k", "seq", F.col("kind").cast("long").alias("kind"), "v")
+
+
+def point_get(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.get(history.events(spark, d), "000007").select("k", "seq", "v")
+
+
+def multi_get(spark: SparkSession, d: str) -> DataFrame:
+    keys = history.read(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("k"))
+    keys = keys.union(spark.createDataFrame([("absent",)], "k string"))
+    return resolve.multi_get(keys, history.orders(spark, d)).select("k", "v", F.col("found").cast("long").alias("found"))
+
+
+def snapshot_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.sweep(history.events(spark, d), SWEEP)
+
+
+def ordered_scan(spark: SparkSession, d: str) -> DataFrame:
+    return scan.positions(history.events(spark, d)).select("pos", "k", "seq")
+
+
+def range_scan(spark: SparkSession, d: str) -> DataFrame:
+    h = history.events(spark, d)
+    return scan.key_range(h, LOW, HIGH, _half(h)).select("k", "seq", "v")
+
+
+def seek_ge(spark: SparkSession, d: str) -> DataFrame:
+    return scan.seek_ge(history.events(spark, d), TARGETS)
+
+
+def batch_apply(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("batch", "k").orderBy(F.col("i").desc())
+    h = history.events(spark, d).withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    return h.select("batch", "k", (F.col("batch") * 10 + 1 + F.col("i")).alias("seq"), "v")
+
+
+def delete_then_put(spark: SparkSession, d: str) -> DataFrame:
+    by_key = history.events(spark, d).groupBy("k").agg(F.min(F.when(F.col("kind") == 0, F.col("seq"))).alias("first_delete"), F.max(F.when(F.col("kind") == 1, F.col("seq"))).alias("last_put"))
+    return by_key.where("last_put > first_delete")
+
+
+def file_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return layout.file_metadata(history.events(spark, d))
+
+
+def file_pruning(spark: SparkSession, d: str) -> DataFrame:
+    h = history.turns(spark, d)
+    return layout.candidates(h.select("k").distinct(), layout.file_metadata(h).select("f", "smallest", "largest"), 6).groupBy("k").agg(F.count(F.lit(1)).alias("n_runs"))
+
+
+def level_lookup(spark: SparkSession, d: str) -> DataFrame:
+    h = history.turns(spark, d)
+    return layout.candidates(h.select("k").distinct(), layout.file_metadata(h).select("f", "smallest", "largest"), 6)
+
+
+def read_amplification(spark: SparkSession, d: str) -> DataFrame:
+    return layout.read_amplification(history.events(spark, d))
+
+
+def space_amplification(spark: SparkSession, d: str) -> DataFrame:
+    return layout.space_amplification(history.events(spark, d))
+
+
+def prefix_compression(spark: SparkSession, d: str) -> DataFrame:
+    return layout.prefix_stats(history.events(spark, d))
+
+
+def order_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Runs in arrival order, which isn't key order: most rows break it."""
+    return scan.order_violations(history.events(spark, d), "seq").select("f", "k", "seq")
+
+
+def memtable_rotation(spark: SparkSession, d: str) -> DataFrame:
+    sized = history.events(spark, d).select("seq", (6 + 8 + layout.ENTRY_OVERHEAD + F.length("props")).cast("long").alias("bytes"))
+    return layout.rotations(sized, ROTATE_AT).drop("shard")
+
+
+def block_layout(spark: SparkSession, d: str) -> DataFrame:
+    return layout.blocks(history.events(spark, d), BLOCK_SIZE)
+
+
+def manifest_live_files(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.live_files(manifest.sample_edits(spark))
+
+
+def manifest_fields(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.fields(spark.createDataFrame(FIELDS, manifest.FIELD_SCHEMA))
+
+
+def obsolete_files(spark: SparkSession, d: str) -> DataFrame:
+    listing = spark.createDataFrame([(n,) for n in LISTING], "name string")
+    return manifest.obsolete(listing, spark.createDataFrame(LIVE, "kind string, number long"))
+
+
+def live_rows(spark: SparkSession, d: str) -> DataFrame:
+    files = manifest.live_files(manifest.sample_edits(spark)).select(F.col("number").alias("f"))
+    return history.events(spark, d).join(F.broadcast(files), "f", "left_semi").select("k", "seq", "f")
+
+
+def torn_tail(spark: SparkSession, d: str) -> DataFrame:
+    bad = f"seq in ({', '.join(map(str, BAD_RECORDS))})"
+    return recovery.before_damage(history.events(spark, d).select("k", "seq", "v"), bad)
+
+
+def recovered_sequence(spark: SparkSession, d: str) -> DataFrame:
+    batches = history.events(spark, d).groupBy("batch").agg(F.min("seq").alias("base"), F.count(F.lit(1)).alias("n"))
+    return recovery.last_sequence(batches)
+
+
+def log_replay_order(spark: SparkSession, d: str) -> DataFrame:
+    return recovery.replay_order(spark.createDataFrame([(12,), (4,), (9,), (3,), (27,)], "number long"), 9)
+
+
+def internal_key_codec(spark: SparkSession, d: str) -> DataFrame:
+    h = history.events(spark, d).select("k", "seq", "kind", codec.internal_key(F.col("k"), F.col("seq"), F.col("kind")).alias("ikey"))
+    key, seq, kind = codec.split_internal_key(F.col("ikey"))
+    return h.select("seq", "ikey", ((key == F.hex(F.encode("k", "UTF-8"))) & (seq == F.col("seq")) & (kind == F.col("kind"))).alias("same"))
+
+
+def crc_mask(spark: SparkSession, d: str) -> DataFrame:
+    crc = (history.read(spark, d, "events").select(F.col("event_id"), ((F.col("event_id") * 2654435761) % 4294967296).alias("crc")))
+    masked = crc.withColumn("masked", codec.mask_column(F.col("crc")))
+    return masked.withColumn("unmasked", codec.unmask_column(F.col("masked")))
+
+
+def crc32c_values(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    h = history.events(spark, d)
+    return h.select("seq", codec.crc32c_column(F.encode(F.concat_ws(":", "k", "v"), "UTF-8")).alias("crc"))
+
+
+def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
+    """For each run: its own keys that its filter finds (all of them), and absent keys that it can't rule out."""
+    ship(spark)
+    h = history.events(spark, d).select("f", "k").distinct()
+    filters = h.groupBy("f").applyInPandas(codec.bloom_group, "f long, filter binary")
+    own = h.join(filters, "f").select("f", F.lit(1).alias("own"), codec.bloom_probe_column(F.col("filter"), F.encode("k", "UTF-8")).alias("maybe"))
+    absent = h.withColumn("k", F.concat("k", F.lit("x"))).join(filters, "f").select("f", F.lit(0).alias("own"), codec.bloom_probe_column(F.col("filter"), F.encode("k", "UTF-8")).alias("maybe"))
+    hit = F.col("maybe").cast("long")
+    return own.union(absent).groupBy("f").agg(F.sum(F.col("own")).cast("long").alias("n_keys"), F.sum(hit * F.col("own")).alias("found"), F.sum(hit * (1 - F.col("own"))).alias("false_positives"))
+
+
+def wal_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Each run's writes as a framed log: its bytes, the records read back, and how many survive a cut in the middle."""
+    ship(spark)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        records = [codec.encode_batch(s, [(k_, k.encode(), None if v is None else v.encode())]) for s, k_, k, v in zip(rows["seq"], rows["kind"], rows["k"], rows["v"], strict=True)]
+        log = codec.frame(records)
+        back, _ = codec.readable(log)
+        torn, status = codec.readable(log[: len(log) // 2])
+        return pd.DataFrame({"f": [rows["f"].iloc[0]], "n_bytes": [len(log)], "n_records": [len(back)], "same": [back == records and torn == records[: len(torn)]], "n_torn": [len(torn)], "status": [status]})
+
+    return history.events(spark, d).select("f", "k", "seq", "kind", "v").groupBy("f").applyInPandas(run, "f long, n_bytes long, n_records long, same boolean, n_torn long, status string")
+
+
+def kv_request_outcome(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document's id, a request by turns: GET finds ids of live keys, PUT stores the text, DELETE always works."""
+    docs = history.read(spark, d, "documents").select("doc_id", F.octet_length("text").alias("size"), F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("k"))
+    live = resolve.live(history.events(spark, d)).select("k", F.lit(1).alias("found"))
+    method = F.element_at(F.array(F.lit("GET"), F.lit("PUT"), F.lit("DELETE")), (F.col("doc_id") % 3 + 1).cast("int"))
+    asked = docs.withColumn("method", method).join(live, "k", "left")
+    status = F.when(F.col("method") == "GET", F.when(F.col("found") == 1, 200).otherwise(404)).when((F.col("method") == "PUT") & (F.col("size") > VALUE_LIMIT), 413).otherwise(204)
+    return asked.select("doc_id", "method", status.cast("long").alias("status"))
+
+
+def stream_latest_state(spark: SparkSession, d: str) -> DataFrame:
+    source = history.read(spark, d, "events")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    kind = F.when(F.col("event_type") == "error", 0).otherwise(1)
+    changes = stream.select(
+        F.lpad(F.col("user_id").cast("string"), 6, "0").alias("k"), (F.col("event_id") + 1).alias("seq"), kind.alias("kind"), F.when(kind == 1, F.concat("event_type", F.lit(":"), "props")).alias("v")
+    )
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = f"{shared}/stream-{spark.sparkContext.applicationId}-{id(changes)}" if shared else tempfile.mkdtemp(prefix="tidemark-stream-")
+    state.maintain(changes, folder).awaitTermination()
+    return state.latest(spark, folder).where("kind = 1").select("k", "seq", "v")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        get_at_snapshot, latest_state, latest_seq, latest_with_kind, point_get, multi_get, snapshot_sweep, ordered_scan, range_scan, seek_ge,
+        batch_apply, delete_then_put, file_metadata, file_pruning, level_lookup, read_amplification, space_amplification, prefix_compression,
+        order_violations, memtable_rotation, block_layout, manifest_live_files, manifest_fields, obsolete_files, live_rows, torn_tail,
+        recovered_sequence, log_replay_order, internal_key_codec, crc_mask, crc32c_values, bloom_probe, wal_roundtrip, kv_request_outcome,
+        stream_latest_state,
+    )
+}
+
+_H1 = """h AS (SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS k, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS kind,
+ CASE WHEN event_type = 'error' THEN NULL ELSE event_type || ':' || props END AS v, event_id // 1000 + 1 AS f, event_id // 10 AS batch, event_id % 10 AS i, props FROM events)"""
+_H2 = """h AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS k, o_orderkey + 1 AS seq, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS kind, o_orderpriority AS v FROM orders)"""
+_H3 = """h AS (SELECT lpad(CAST(conv_id AS VARCHAR), 6, '0') || ':' || lpad(CAST(turn AS VARCHAR), 3, '0') AS k, conv_id // 16 + 1 AS f FROM conversations)"""
+_NEW = "r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS n FROM h)"
+_META = "m AS (SELECT f, min(k) AS lo, max(k) AS hi FROM h GROUP BY f)"
+_EDITS = "e(ord, op, level, number) AS (VALUES (1,'new',0,3),(2,'new',0,5),(3,'del',2,3),(4,'new',1,9),(5,'new',9,11))"
+_LIVE = f"""{_EDITS}, x AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY ord DESC, op DESC) AS n FROM e WHERE op = 'del' OR level BETWEEN 0 AND 6),
+l AS (SELECT level, number FROM x WHERE n = 1 AND op = 'new')"""
+
+ORACLES: dict[str, str] = {
+    "get_at_snapshot": f"WITH {_H1}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS n FROM h WHERE seq <= (SELECT max(seq) // 2 FROM h)) SELECT k, seq, v FROM r WHERE n = 1 AND kind = 1",
+    "latest_state": f"WITH {_H1}, {_NEW} SELECT k, seq, v FROM r WHERE n = 1 AND kind = 1",
+    "latest_seq": f"WITH {_H1} SELECT k, max(seq) AS seq FROM h GROUP BY k",
+    "latest_with_kind": f"WITH {_H1}, {_NEW} SELECT k, seq, CAST(kind AS BIGINT) AS kind, v FROM r WHERE n = 1",
+    "point_get": f"WITH {_H1}, {_NEW} SELECT k, seq, v FROM r WHERE n = 1 AND kind = 1 AND k = '000007'",
+    "multi_get": f"""WITH {_H2}, {_NEW}, q AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS k FROM customer UNION ALL SELECT 'absent')
+SELECT q.k, s.v, CASE WHEN s.k IS NULL THEN CAST(0 AS BIGINT) ELSE 1 END AS found FROM q LEFT JOIN (SELECT k, v FROM r WHERE n = 1 AND kind = 1) s ON q.k = s.k""",
+    "snapshot_sweep": f"""WITH {_H1}, s AS (SELECT DISTINCT CAST(ceil(seq / {SWEEP}.0) AS BIGINT) * {SWEEP} AS snap FROM h),
+r AS (SELECT s.snap, h.*, row_number() OVER (PARTITION BY s.snap, k ORDER BY seq DESC) AS n FROM s JOIN h ON h.seq <= s.snap) SELECT snap, k, seq, v FROM r WHERE n = 1 AND kind = 1""",
+    "ordered_scan": f"WITH {_H1} SELECT row_number() OVER (ORDER BY k, seq DESC) AS pos, k, seq FROM h",
+    "range_scan": f"WITH {_H1}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS n FROM h WHERE seq <= (SELECT max(seq) // 2 FROM h)) SELECT k, seq, v FROM r WHERE n = 1 AND kind = 1 AND k >= '{LOW}' AND k < '{HIGH}'",
+    "seek_ge": f"WITH {_H1}, t(target) AS (VALUES {', '.join(f"('{t}')" for t in TARGETS)}) SELECT target, (SELECT min(k) FROM h WHERE k >= target) AS k FROM t",
+    "batch_apply": f"WITH {_H1}, r AS (SELECT *, row_number() OVER (PARTITION BY batch, k ORDER BY i DESC) AS n FROM h) SELECT batch, k, batch * 10 + 1 + i AS seq, v FROM r WHERE n = 1",
+    "delete_then_put": f"WITH {_H1} SELECT * FROM (SELECT k, min(CASE WHEN kind = 0 THEN seq END) AS first_delete, max(CASE WHEN kind = 1 THEN seq END) AS last_put FROM h GROUP BY k) WHERE last_put > first_delete",
+    "file_metadata": f"""WITH {_H1} SELECT f, min(k) AS smallest, max(k) AS largest, count(*) AS n_rows, count(DISTINCT k) AS n_keys, CAST(sum(1 - kind) AS BIGINT) AS n_tombstones,
+CAST(ceil(greatest(64, 10 * count(DISTINCT k)) / 8.0) + 1 AS BIGINT) AS filter_bytes FROM h GROUP BY f""",
+    "file_pruning": f"WITH {_H3}, {_META} SELECT k, count(*) AS n_runs FROM (SELECT DISTINCT k FROM h) JOIN m ON k BETWEEN lo AND hi GROUP BY k",
+    "level_lookup": f"WITH {_H3}, {_META} SELECT k, f FROM (SELECT DISTINCT k FROM h) JOIN m ON k BETWEEN lo AND hi",
+    "read_amplification": f"WITH {_H1}, {_META}, t AS (SELECT k, max(f) AS hit FROM h GROUP BY k) SELECT k, count(*) AS runs_read FROM t JOIN m ON m.f >= hit AND k BETWEEN lo AND hi GROUP BY k",
+    "space_amplification": f"WITH {_H1} SELECT k, count(*) AS versions, CAST(sum(1 - kind) AS BIGINT) AS tombstones, count(*) - 1 AS superseded FROM h GROUP BY k",
+    "prefix_compression": f"""WITH {_H1}, p AS (SELECT f, k, seq, row_number() OVER w AS pos, lag(k) OVER w AS b FROM h WINDOW w AS (PARTITION BY f ORDER BY k, seq DESC))
+SELECT f, k, seq, pos, CAST(CASE WHEN (pos - 1) % 16 = 0 THEN 0 ELSE (SELECT coalesce(max(j), 0) FROM range(1, 7) t(j) WHERE left(k, j) = left(b, j)) END AS BIGINT) AS shared FROM p""",
+    "order_violations": f"""WITH {_H1}, p AS (SELECT f, k, seq, lag(k) OVER w AS pk, lag(seq) OVER w AS ps FROM h WINDOW w AS (PARTITION BY f ORDER BY seq))
+SELECT f, k, seq FROM p WHERE pk > k OR (pk = k AND ps <= seq)""",
+    "memtable_rotation": f"""WITH RECURSIVE {_H1}, s AS (SELECT seq, sum(70 + length(props)) OVER (ORDER BY seq) AS upto, 70 + length(props) AS b FROM h),
+g AS (SELECT CAST(1 AS BIGINT) AS generation, min(seq) AS lo, CAST(0 AS HUGEINT) AS before FROM s
+ UNION ALL SELECT generation + 1, n.seq + 1, n.upto FROM g, LATERAL (SELECT seq, upto FROM s WHERE s.upto - g.before >= {ROTATE_AT} ORDER BY seq LIMIT 1) n WHERE n.seq < (SELECT max(seq) FROM s)),
+e AS (SELECT *, coalesce(lead(lo) OVER (ORDER BY generation) - 1, (SELECT max(seq) FROM s)) AS hi FROM g)
+SELECT generation, lo, hi, CAST((SELECT upto FROM s WHERE s.seq = e.hi) - before AS BIGINT) AS bytes FROM e""",
+    "manifest_live_files": f"WITH {_LIVE} SELECT CAST(level AS BIGINT) AS level, CAST(number AS BIGINT) AS number FROM l",
+    "manifest_fields": "SELECT CAST(7 AS BIGINT) AS log_number, CAST(12 AS BIGINT) AS next_file_number, CAST(340 AS BIGINT) AS last_sequence",
+    "obsolete_files": """WITH n(name) AS (VALUES ('CURRENT'),('MANIFEST-000007'),('MANIFEST-000003'),('000004.log'),('000009.log'),('000005.sst'),('000008.sst'),('000011.tmp'),('CURRENT.tmp'),('junk')),
+c AS (SELECT name, CASE WHEN regexp_matches(name, '^MANIFEST-[0-9]+$') THEN 'manifest' WHEN regexp_matches(name, '^[0-9]+\\.log$') THEN 'log' WHEN regexp_matches(name, '^[0-9]+\\.sst$') THEN 'table' WHEN regexp_matches(name, '^[0-9]+\\.tmp$') THEN 'temp' END AS kind FROM n),
+k AS (SELECT name, kind, CAST(regexp_extract(name, '[0-9]+') AS BIGINT) AS number FROM c WHERE kind IS NOT NULL)
+SELECT * FROM k WHERE NOT ((kind = 'log' AND number >= 9) OR (kind = 'table' AND number = 8) OR (kind = 'manifest' AND number = 7))""",
+    "live_rows": f"WITH {_H1}, {_LIVE} SELECT k, seq, f FROM h WHERE f IN (SELECT number FROM l)",
+    "torn_tail": f"WITH {_H1} SELECT k, seq, v FROM h WHERE seq < coalesce((SELECT min(seq) FROM h WHERE seq IN {BAD_RECORDS}), 9223372036854775807)",
+    "recovered_sequence": f"WITH {_H1}, b AS (SELECT min(seq) AS base, count(*) AS n FROM h GROUP BY batch) SELECT max(base + n - 1) AS last_seq FROM b",
+    "log_replay_order": "SELECT lpad(CAST(number AS VARCHAR), 6, '0') || '.log' AS name, CAST(number AS BIGINT) AS number, row_number() OVER (ORDER BY number) AS pos FROM (VALUES (12), (4), (9), (3), (27)) t(number) WHERE number >= 9",
+    "internal_key_codec": f"""WITH {_H1} SELECT seq, hex(k) || lpad(to_hex(kind), 2, '0') || array_to_string([lpad(to_hex((seq >> (8 * j)) & 255), 2, '0') FOR j IN range(0, 7)], '') AS ikey, true AS same FROM h""",
+    "crc_mask": """WITH c AS (SELECT event_id, CAST((CAST(event_id AS HUGEINT) * 2654435761) % 4294967296 AS BIGINT) AS crc FROM events)
+SELECT event_id, crc, ((crc >> 15) | ((crc & 32767) << 17)) + 2726488792 - CASE WHEN ((crc >> 15) | ((crc & 32767) << 17)) + 2726488792 >= 4294967296 THEN 4294967296 ELSE 0 END AS masked, crc AS unmasked FROM c""",
+    "kv_request_outcome": f"""WITH {_H1}, {_NEW}, l AS (SELECT k FROM r WHERE n = 1 AND kind = 1)
+SELECT doc_id, ['GET', 'PUT', 'DELETE'][doc_id % 3 + 1] AS method, CAST(CASE doc_id % 3 WHEN 0 THEN CASE WHEN l.k IS NOT NULL THEN 200 ELSE 404 END WHEN 1 THEN CASE WHEN strlen(text) > {VALUE_LIMIT} THEN 413 ELSE 204 END ELSE 204 END AS BIGINT) AS status
+FROM documents LEFT JOIN l ON l.k = lpad(CAST(doc_id AS VARCHAR), 6, '0')""",
+    "stream_latest_state": f"WITH {_H1}, {_NEW} SELECT k, seq, v FROM r WHERE n = 1 AND kind = 1",
+}
