@@ -7,10 +7,13 @@ arrivals whose rate is its weight, seeded by the shingle; an arrival falls on a
 the shingle that arrived first. Two documents agree on a register with probability J_P. A shingle's process ends as
 soon as its time passes the latest of the document's registers, so long texts need little more than one arrival each.
 
-Equal texts become one before any pairing. Registers are banded; a bucket of a band is settled without pairing all its
-members: they are linked to the bucket's first member (a star) and verified on their whole shingles; then buckets
-whose members still lie in different components pair members across components only, and these pairs are verified
-too, so no candidate link between components is lost. Components come from label propagation with pointer jumping.
+Equal texts become one before any pairing. Registers are banded, and a bucket of a band is settled without pairing
+all its members. The bucket's head is its most popular member, the one with the most company over all its buckets:
+in a family of copies that is one with few edits of its own, near to all others. All members are verified against the head
+on whole shingles (a star). Buckets whose members then still lie in different components go on: small ones pair
+members across components, large ones take their next most popular member as head, for members of other
+components, round after round, until a round finds no new link. Every step is linear in the members of the
+buckets. Components come from label propagation with pointer jumping.
 
 The threshold is 0.8. With 25 bands of 5 registers a pair at 0.8 misses all buckets with probability 0.00005.
 
@@ -22,7 +25,6 @@ smallest doc_id; ties and repeated rows don't change it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ SHINGLE = 5
 BANDS = 25
 ROWS = 5
 THRESHOLD = 0.8
+#: Buckets of at most so many texts pair them across components.
+MOST_PAIRED = 16
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 21
 
@@ -251,41 +255,67 @@ def _fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return cut(own.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "texts")
 
 
-def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """(text_key, class_id, class_size, n_links): a row for each distinct text that has copies or near copies.
-
-    n_links counts verified links of the text to other texts; copies are counted in class_size.
-    """
-    signed = sign(docs, bands, rows).groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min_by("bands", "doc_id").alias("bands"))
-    distinct = cut(signed, "signed")
+def _populous(distinct: DataFrame) -> DataFrame:
+    """(bucket, members, text_key, rank) for buckets with two texts or more; rank orders texts by their company."""
     buckets = distinct.select(F.explode("bands").alias("bucket"), "text_key")
-    heads = cut(buckets.groupBy("bucket").agg(F.min("text_key").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "head"), "heads")
-    members = cut(buckets.join(heads, "bucket"), "members")
-    star = cut(members.where("text_key != head").select(F.col("head").alias("a"), F.col("text_key").alias("b")).distinct(), "star")
-    texts = _fetch(docs, star.select(F.col("a").alias("text_key")).union(star.select(F.col("b").alias("text_key"))))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    by_text = buckets.join(shared, "bucket").groupBy("text_key").agg(F.sum("members").alias("company"), F.collect_list(F.struct("bucket", "members")).alias("own"))
+    out = by_text.select("text_key", F.struct("company", "text_key").alias("rank"), F.explode("own").alias("o"))
+    return cut(out.select("o.bucket", "o.members", "text_key", "rank"), "members")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their labels."""
+    known = members.join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    return known.join(mixed, "bucket", "left_semi")
+
+
+def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def links(docs: DataFrame, distinct: DataFrame, threshold: float = THRESHOLD, most_paired: int = MOST_PAIRED) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, similarity) that connect every component, and the components' labels."""
+    members = _populous(distinct)
+    heads = members.groupBy("bucket").agg(F.max("rank").alias("head"))
+    star = cut(_pairs(members.join(heads, "bucket").where("rank != head").select("text_key", F.col("head.text_key").alias("other")), "text_key", "other"), "star")
+    texts = _fetch(docs, members.select("text_key"))
     edges = cut(verify(star, texts, threshold), "links")
     labels = components(edges)
-    # buckets whose members are still in different components
-    known = members.select("bucket", "text_key").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left")
-    known = known.withColumn("label", F.coalesce("label", "text_key"))
-    open_ = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    rest = cut(known.join(open_, "bucket", "left_semi"), "open")
-    other = rest.select("bucket", F.col("text_key").alias("b"), F.col("label").alias("other"))
-    across = rest.withColumnRenamed("text_key", "a").join(other, "bucket").where("label != other and a < b").select("a", "b").distinct()
-    across = cut(across.join(star, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        edges = cut(edges.union(verify(across, texts, threshold)), "links")
+    done, first, last = star, True, cut(heads, "heads")
+    while True:
+        rest = cut(_labelled(members, labels), "open")
+        lower = rest.join(last, "bucket").where("rank < head").groupBy("bucket").agg(F.max(F.struct("rank", "label")).alias("next"))
+        last = cut(lower.select("bucket", F.col("next.rank").alias("head"), F.col("next.label").alias("head_label")), "heads")
+        wanted = _pairs(rest.join(last, "bucket").where("label != head_label").select("text_key", F.col("head.text_key").alias("other")), "text_key", "other")
+        if first:
+            few = rest.where(F.col("members") <= most_paired)
+            other = few.select("bucket", F.col("text_key").alias("other"), F.col("label").alias("other_label"))
+            wanted = wanted.union(_pairs(few.join(other, "bucket").where("label != other_label and text_key < other"), "text_key", "other")).distinct()
+            members, first = members.where(F.col("members") > most_paired), False
+        tries = cut(wanted.join(done, ["a", "b"], "left_anti"), "tries")
+        new = cut(verify(tries, texts, threshold), "links")
+        last = last.select("bucket", "head")
+        if new.isEmpty():
+            return edges, labels
+        edges, done = cut(edges.union(new), "links"), cut(done.union(tries), "tried")
         labels = components(edges)
-    links = reduce(DataFrame.union, [edges.select(F.col(c).alias("text_key")) for c in "ab"]).groupBy("text_key").agg(F.count(F.lit(1)).alias("n_links"))
+
+
+def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """(text_key, class_id, class_size): a row for each distinct text that has copies or near copies."""
+    signed = sign(docs, bands, rows).groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min_by("bands", "doc_id").alias("bands"))
+    distinct = cut(signed, "signed")
+    _, labels = links(docs, distinct, threshold)
     named = distinct.select("text_key", "first_id", "n").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").where("label is not null or n > 1")
     named = named.withColumn("label", F.coalesce("label", "text_key"))
     sums = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    out = named.join(sums, "label").join(links, "text_key", "left")
-    return cut(out.select("text_key", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
+    return cut(named.join(sums, "label").select("text_key", "class_id", "class_size"), "classes")
 
 
 def mark(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with class_id, class_size, n_links and kept: of each class the row with the smallest doc_id is kept."""
+    """docs with class_id, class_size and kept: of each class the row with the smallest doc_id is kept."""
     found = small(classes(docs, bands, rows, threshold).withColumnRenamed("text_key", "_key"))
     joined = docs.join(found, text_key() == F.col("_key"), "left")
     class_id = F.when(F.col("_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
@@ -293,6 +323,5 @@ def mark(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float
         *[docs[c] for c in docs.columns],
         class_id.alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         class_id.eqNullSafe(F.col("doc_id")).alias("kept"),
     )

@@ -55,7 +55,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return neardup.mark(docs).select("doc_id", "class_id", "class_size", "n_links", "kept")
+    return neardup.mark(docs).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
