@@ -8,9 +8,9 @@ c_ik the share of document i that counts for constraint k, and lambda minimises
 rows of c, which one pre-aggregated pass gathers; gradient and Hessian are then sums over these cells.
 
 Rates become copies in blocks of each source (documents dealt by a hash of the id, so that a source with a third of
-all rows is spread): from the largest document down, a document gets its rate rounded up or down, whichever
-keeps the block's tokens nearest to what its rates ask for. The last documents are small, so each block ends within
-half a small document of its target, and no document gets more than its rate rounded up.
+all rows is spread): from the largest document down, a document gets the number of copies, at most cap, that
+brings the block's tokens nearest to what the rates so far ask for; what is left over passes on to the next. The last
+documents are small, so each block ends close to its target.
 """
 
 from __future__ import annotations
@@ -95,18 +95,16 @@ def rates(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = C
     return sized.sparkSession.createDataFrame(rows, "source string, source_size long, target double, rate double, source_rows long")
 
 
-def round_block(block: pd.DataFrame) -> pd.DataFrame:
+def round_block(block: pd.DataFrame, cap: int = CAP) -> pd.DataFrame:
     """copies for the documents of one block, see the module's text."""
     block = block.sort_values(["size", "_order", "doc_id"], ascending=[False, True, True], kind="stable")
     size, rate = block["size"].to_numpy(np.int64), block["rate"].to_numpy(np.float64)
+    size, rate = block["size"].to_numpy(np.int64), block["rate"].to_numpy(np.float64)
     copies, owed = np.zeros(len(block), np.int64), 0.0
     for i in range(len(block)):
-        low = math.floor(rate[i] + 1e-9)
-        part = max(0.0, rate[i] - low)
-        owed += part * size[i]
-        up = part > 1e-9 and owed >= size[i] / 2
-        copies[i] = low + up
-        owed -= size[i] * up
+        owed += rate[i] * size[i]
+        copies[i] = min(cap, max(0, math.floor((owed / size[i] if size[i] else rate[i]) + 0.5)))
+        owed -= size[i] * copies[i]
     block = block.assign(copies=copies)
     return block[["doc_id", "size", "source_size", "target", "rate", "copies", "_row"]]
 
@@ -130,7 +128,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, b
     blocks = F.least(F.greatest(F.ceil(F.col("source_rows") / block_rows), F.lit(1)), F.lit(65_536))
     dealt = joined.withColumns({"_order": order, "_block": F.pmod(F.xxhash64("doc_id", F.lit("block")), blocks)})
     schema = "doc_id long, size long, source_size long, target double, rate double, copies long, _row long"
-    return dealt.groupBy("source", "_block").applyInPandas(lambda block: round_block(block), schema)
+    return dealt.groupBy("source", "_block").applyInPandas(lambda block: round_block(block, cap), schema)
 
 
 def row_key(docs: DataFrame) -> Column:

@@ -81,10 +81,9 @@ def shingle_weights(data: np.ndarray, ends: np.ndarray, width: int = SHINGLE) ->
     n_words = np.bincount(doc, minlength=len(ends))
     run = word * np.uint64(3)
     for k in range(1, width):
-        shifted = np.zeros_like(word)
-        shifted[: len(word) - k] = word[k:]
-        same = np.zeros(len(word), bool)
-        same[: len(word) - k] = doc[k:] == doc[: len(word) - k]
+        shifted, same, n = np.zeros_like(word), np.zeros(len(word), bool), max(0, len(word) - k)
+        shifted[:n] = word[k:]
+        same[:n] = doc[k:] == doc[:n]
         run = np.where(same, mix(run) + shifted * np.uint64(2 * k + 3), run)
     left = np.cumsum(n_words)[doc] - np.arange(len(word))  # words from here to the document's end
     starts_doc = np.append(True, doc[1:] != doc[:-1])

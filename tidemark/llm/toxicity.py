@@ -13,7 +13,7 @@ the most telling words and that sample's sparse rows come to the driver. Scoring
 without a shuffle, in Arrow batches.
 
 Defined results: null and empty texts have no features and get the intercept's score. Repeated rows get equal
-scores. With no usable labels, or labels of one class alone, every document gets that class's rate (0.5 without
+scores. With no usable labels, or labels of one class alone, every document gets that class's rate (0 without
 any). An empty table gives no rows. Other columns are kept and never used; labels, lang, source and doc_id are never
 inputs.
 """
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     seen = cut(rows.mapInArrow(split, "y int, words array<string>, swaps array<array<string>>"), "toxic")
     total, ones = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not total or ones in (0, total):
-        rate = float(ones / total) if total else 0.5
+        rate = float(ones / total) if total else 0.0
         return ToxicityModel({}, float(np.clip(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)), -9, 9)))
     base = ones / total
     counts = seen.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1")).where(F.col("n") >= min_docs)
