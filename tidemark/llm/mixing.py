@@ -99,7 +99,6 @@ def round_block(block: pd.DataFrame, cap: int = CAP) -> pd.DataFrame:
     """copies for the documents of one block, see the module's text."""
     block = block.sort_values(["size", "_order", "doc_id"], ascending=[False, True, True], kind="stable")
     size, rate = block["size"].to_numpy(np.int64), block["rate"].to_numpy(np.float64)
-    size, rate = block["size"].to_numpy(np.int64), block["rate"].to_numpy(np.float64)
     copies, owed = np.zeros(len(block), np.int64), 0.0
     for i in range(len(block)):
         owed += rate[i] * size[i]
