@@ -225,6 +225,46 @@ def test_near_duplicates(spark, docs, empty):
     assert classes == {i: root(i) for i, _ in rows}
 
 
+def family(n, seed=9):
+    """Texts with more and more edits, some with repeated shingles, short ones and capitals."""
+    random = np.random.default_rng(seed)
+    base = [f"w{i}" for i in random.integers(0, 10**6, 60)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for k in random.integers(0, 60, i % 5):
+            own[k] = f"E{random.integers(4)}"
+        out.append(" ".join(own * (1 + i % 3) + own[: i % 7]))
+    return [*out, "one two", "One  two\n", "one"]
+
+
+def test_block_links_are_all_links_between_components():
+    texts = family(40)
+    rows = [(bytes([i]), bytes([i % 4]), t) for i, t in enumerate(texts)]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if i % 4 != j % 4 and brute_similarity(texts[i], texts[j]) >= 0.8}
+    got = {(a[0], b[0]): s for a, b, s in neardup.block_links(rows[:20], rows, 0.8) + neardup.block_links(rows[20:], rows, 0.8)}
+    assert set(got) == want and len(want) > 50
+    assert all(s == pytest.approx(brute_similarity(texts[i], texts[j])) for (i, j), s in got.items())
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3000)
+    rows = list(enumerate(family(120, 4)))
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and brute_similarity(a, b) >= 0.8:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.mark(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i, _ in rows}
+
+
 def test_targets_and_newton():
     goal = mixing.targets({"a": 100, "b": 1000, "c": 10, None: 50})
     assert goal["a"] == 300 and goal[None] == 150 and sum(goal.values()) == pytest.approx(1160) and goal["b"] <= 3000 and goal["c"] == 30

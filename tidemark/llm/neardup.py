@@ -10,10 +10,14 @@ soon as its time passes the latest of the document's registers, so long texts ne
 Equal texts become one before any pairing. Registers are banded, and a bucket of a band is settled without pairing
 all its members. The bucket's head is its most popular member, the one with the most company over all its buckets:
 in a family of copies that is one with few edits of its own, near to all others. All members are verified against the head
-on whole shingles (a star). Buckets whose members then still lie in different components go on: small ones pair
-members across components, large ones take their next most popular member as head, for members of other
-components, round after round, until a round finds no new link. Every step is linear in the members of the
-buckets. Components come from label propagation with pointer jumping.
+on whole shingles (a star). Large buckets whose members then still lie in different components take their next most
+popular member as head, for members of other components, round after round, until a round finds no new link. These
+steps are linear in the members of the buckets, and join nearly all that belongs together.
+
+What they leave is settled for good: in every bucket that still holds several components, the members outside its
+largest component are compared with all members of other components on whole shingles, block by block; only links
+become rows. So no pair of a bucket stays untried unless its ends are connected already. Components come from label
+propagation with pointer jumping.
 
 The threshold is 0.8. With 25 bands of 5 registers a pair at 0.8 misses all buckets with probability 0.00005.
 
@@ -38,8 +42,10 @@ SHINGLE = 5
 BANDS = 25
 ROWS = 5
 THRESHOLD = 0.8
-#: Buckets of at most so many texts pair them across components.
-MOST_PAIRED = 16
+#: Buckets of at most so many texts take no further heads: comparing their members directly is as cheap.
+FEW = 16
+#: Bytes of text that are compared at once with as many others, about.
+BLOCK = 1 << 19
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 21
 
@@ -274,37 +280,115 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def links(docs: DataFrame, distinct: DataFrame, threshold: float = THRESHOLD, most_paired: int = MOST_PAIRED) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, similarity) that connect every component, and the components' labels."""
-    members = _populous(distinct)
-    heads = members.groupBy("bucket").agg(F.max("rank").alias("head"))
-    star = cut(_pairs(members.join(heads, "bucket").where("rank != head").select("text_key", F.col("head.text_key").alias("other")), "text_key", "other"), "star")
-    texts = _fetch(docs, members.select("text_key"))
+def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, shingle, weight) of texts that have words each: where each text's shingles start, and all shingles."""
+    data = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    doc, shingle, weight = shingle_weights(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data]))
+    return np.searchsorted(doc, np.arange(len(texts) + 1)), shingle, weight
+
+
+def block_links(left: list[tuple[bytes, bytes, str]], right: list[tuple[bytes, bytes, str]], threshold: float) -> list[tuple[bytes, bytes, float]]:
+    """(a, b, similarity) between two lists of (text_key, label, text) where labels differ; all texts have words.
+
+    The probability Jaccard is at most the sum of the smaller shares of each shingle, which is made for all of right
+    at once; what passes is measured exactly, as a plain Jaccard where no shingle repeats.
+    """
+    (at, own, weight), (to, others, their_weight) = _shingles([x[2] for x in left]), _shingles([x[2] for x in right])
+    words, place = np.unique(others, return_inverse=True)
+    sizes, total = np.diff(to), np.add.reduceat(their_weight, to[:-1])
+    share, plain = their_weight / np.repeat(total, sizes), total == sizes
+    number: dict[bytes, int] = {}
+    labels, keys = np.array([number.setdefault(x[1], len(number)) for x in right]), [x[0] for x in right]
+    held, out = np.zeros(len(words)), []
+    for k, (key, label, _) in enumerate(left):
+        mine = slice(at[k], at[k + 1])
+        n, own_total = at[k + 1] - at[k], weight[mine].sum()
+        where = np.minimum(np.searchsorted(words, own[mine]), len(words) - 1)
+        both = words[where] == own[mine]
+        held[where[both]] = weight[mine][both] / own_total
+        smaller = np.add.reduceat(np.minimum(held[place], share), to[:-1])
+        near = np.flatnonzero(smaller >= threshold - 1e-9)
+        near = near[labels[near] != number.get(label, -1)]
+        if len(near):
+            met = np.add.reduceat((held > 0)[place], to[:-1], dtype=np.int64)
+        for j in near:
+            if plain[j] and own_total == n:
+                score = float(met[j] / (n + sizes[j] - met[j]))
+            else:
+                theirs = slice(to[j], to[j + 1])
+                score = probability_jaccard((own[mine], weight[mine]), (others[theirs], their_weight[theirs]))
+            if score >= threshold - 1e-12:
+                out.append((min(key, keys[j]), max(key, keys[j]), score))
+        held[where[both]] = 0.0
+    return out
+
+
+def _across(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of texts that share a bucket, lie in different components and are near.
+
+    rest: (bucket, text_key, label) of open buckets; buckets of the same members count once. Of each bucket, members
+    outside its largest component meet all members, in blocks of text; each two blocks are a row of their own, dealt
+    by bucket and block, so that a large bucket is the work of many tasks and its pairs never become rows.
+    """
+    ship(rest.sparkSession)
+    same = [F.bit_xor(F.xxhash64("text_key", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    once = rest.groupBy("bucket").agg(*same, F.count(F.lit(1)).alias("n")).groupBy("h1", "h2", "n").agg(F.min("bucket").alias("bucket"))
+    members = cut(rest.select("bucket", "text_key", "label").join(once.select("bucket"), "bucket", "left_semi").join(texts.select("text_key", F.octet_length("text").cast("long").alias("bytes")), "text_key"), "open")
+    by_label = members.groupBy("bucket", "label").agg(F.sum("bytes").alias("bytes"))
+    sizes = by_label.groupBy("bucket").agg(F.sum("bytes").alias("all"), F.max(F.struct("bytes", "label")).alias("main"))
+    sizes = cut(sizes.select("bucket", F.col("main.label").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("main.bytes")) / BLOCK).alias("outer_blocks")), "blocks")
+    known = members.join(sizes, "bucket").join(texts, "text_key")
+    member, place = F.struct("text_key", "label", "text"), F.xxhash64("text_key", F.lit("block"))
+    inner = known.groupBy("bucket", F.pmod(place, "blocks").alias("j")).agg(F.collect_list(member).alias("right"))
+    outer = known.where("label != main").groupBy("bucket", F.pmod(place, "outer_blocks").alias("i")).agg(F.collect_list(member).alias("left"))
+    meet = outer.join(sizes, "bucket").select("bucket", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def listed(side: pa.Scalar) -> list[tuple[bytes, bytes, str]]:
+            return list(zip(*[side.values.field(k).to_pylist() for k in ("text_key", "label", "text")], strict=True))
+
+        for batch in batches:
+            found = [x for left, right in zip(batch.column(0), batch.column(1), strict=True) for x in block_links(listed(left), listed(right), threshold)]
+            a, b, similarity = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(similarity, pa.float64())], ["a", "b", "similarity"])
+
+    return meet.join(inner, ["bucket", "j"]).select("left", "right").mapInArrow(run, "a binary, b binary, similarity double")
+
+
+def links(docs: DataFrame, distinct: DataFrame, threshold: float = THRESHOLD, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, similarity) that connect every component, and the components' labels.
+
+    distinct: (text_key, bands), a row for each text.
+    """
+    populous = _populous(distinct)
+    heads = populous.groupBy("bucket").agg(F.max("rank").alias("head"))
+    star = cut(_pairs(populous.join(heads, "bucket").where("rank != head").select("text_key", F.col("head.text_key").alias("other")), "text_key", "other"), "star")
+    texts = _fetch(docs, populous.select("text_key"))
     edges = cut(verify(star, texts, threshold), "links")
     labels = components(edges)
-    done, first, last = star, True, cut(heads, "heads")
+    done, last, large = star, cut(heads, "heads"), populous.where(F.col("members") > few)
     while True:
-        rest = cut(_labelled(members, labels), "open")
+        rest = cut(_labelled(large, labels), "open")
         lower = rest.join(last, "bucket").where("rank < head").groupBy("bucket").agg(F.max(F.struct("rank", "label")).alias("next"))
         last = cut(lower.select("bucket", F.col("next.rank").alias("head"), F.col("next.label").alias("head_label")), "heads")
         wanted = _pairs(rest.join(last, "bucket").where("label != head_label").select("text_key", F.col("head.text_key").alias("other")), "text_key", "other")
-        if first:
-            few = rest.where(F.col("members") <= most_paired)
-            other = few.select("bucket", F.col("text_key").alias("other"), F.col("label").alias("other_label"))
-            wanted = wanted.union(_pairs(few.join(other, "bucket").where("label != other_label and text_key < other"), "text_key", "other")).distinct()
-            members, first = members.where(F.col("members") > most_paired), False
         tries = cut(wanted.join(done, ["a", "b"], "left_anti"), "tries")
         new = cut(verify(tries, texts, threshold), "links")
-        last = last.select("bucket", "head")
+        last, done = last.select("bucket", "head"), cut(done.union(tries), "tried")
         if new.isEmpty():
-            return edges, labels
-        edges, done = cut(edges.union(new), "links"), cut(done.union(tries), "tried")
+            break
+        edges = cut(edges.union(new), "links")
         labels = components(edges)
+    new = cut(_across(cut(_labelled(populous, labels), "open"), texts, threshold), "links")
+    if new.isEmpty():
+        return edges, labels
+    edges = cut(edges.union(new).distinct(), "links")
+    return edges, components(edges)
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(text_key, class_id, class_size): a row for each distinct text that has copies or near copies."""
-    signed = sign(docs, bands, rows).groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min_by("bands", "doc_id").alias("bands"))
+    signed = sign(docs, bands, rows).groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     distinct = cut(signed, "signed")
     _, labels = links(docs, distinct, threshold)
     named = distinct.select("text_key", "first_id", "n").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").where("label is not null or n > 1")
