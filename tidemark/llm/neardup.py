@@ -47,7 +47,7 @@ FEW = 16
 #: Bytes of text that are compared at once with as many others, about.
 BLOCK = 1 << 19
 #: Bytes of text that are worked on at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _MUL1, _MUL2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
