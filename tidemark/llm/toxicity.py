@@ -47,6 +47,8 @@ IDENTITY_TERMS = {
     "ability": ["blind", "deaf", "disabled"],
 }
 _SWAP = {t: (kind[(i + 1) % len(kind)], kind[i - 1]) for kind in IDENTITY_TERMS.values() for i, t in enumerate(kind)}
+#: Labelled texts that are split into features at once.
+SLICE = 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -134,11 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [word_set(t) for t in batch.column(1).to_pylist()]
-            swaps = [[sorted(features(s)) for s in swapped(f)] for f in found]
-            arrays = [batch.column(0), pa.array([sorted(features(f)) for f in found], pa.list_(pa.string())), pa.array(swaps, pa.list_(pa.list_(pa.string())))]
-            yield pa.RecordBatch.from_arrays(arrays, ["y", "words", "swaps"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                found = [word_set(t) for t in batch.column(1).to_pylist()]
+                swaps = [[sorted(features(s)) for s in swapped(f)] for f in found]
+                arrays = [batch.column(0), pa.array([sorted(features(f)) for f in found], pa.list_(pa.string())), pa.array(swaps, pa.list_(pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays(arrays, ["y", "words", "swaps"])
 
     seen = cut(rows.mapInArrow(split, "y int, words array<string>, swaps array<array<string>>"), "toxic")
     total, ones = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -168,7 +172,7 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array([model.score(t or "") for t in batch.column(at).to_pylist()], pa.float64())
+            scores = pa.array([model.score(t.as_py() or "") for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [f"c{i}" for i in range(batch.num_columns)] + [column])
 
     named = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)] + [schema.fields[-1]])
