@@ -330,5 +330,18 @@ def test_pseudonyms(spark, docs, empty):
     assert int("".join(str(int(c, 36)) for c in iban[0]["text"][4:] + iban[0]["text"][:4])) % 97 == 1
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    values = {"card": "4539 1488 0343 6467", "phone": "415-555-0100", "date": "2024-01-15", "ssn": "123-45-6789", "ip": "10.2.3.4"}
+    around = ["{}", "{} 12/25", "{} 2024-01-15", "{} 90210", "90210 {}", "12 {} 34", "7 {}", "{}, 1234 5678", "1234 5678 {} 1234"]
+    rows = [(k, a.format(v), a.format("|")) for k, v in values.items() for a in around]
+    rows += [("card", f"4539148803436467 {x}", "| " + x) for x in ("12/25", "123", "4155550100")]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "kind string, text string, frame string")).collect()
+    alone = {r["kind"]: r["text"] for r in got if r["frame"] == "|"}
+    for r in got:
+        assert r[f"n_{r['kind']}"] >= 1, r
+        assert alone[r["kind"]].replace(" ", "") in r["text"].replace(" ", ""), r
+        assert values[r["kind"]] not in r["text"] or alone[r["kind"]] == values[r["kind"]]
+
+
 def test_digest():
     assert hashlib.sha256(b"ab").hexdigest().startswith("fb8e20fc")
