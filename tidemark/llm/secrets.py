@@ -30,7 +30,7 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 # Weak parts of credentials.
 KEY_ID = r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])[A-Z][A-Z0-9]{11,31}(?![A-Za-z0-9])"
-KEY_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[^A-Z\s]*[A-Z])(?=[^a-z\s]*[a-z])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])"
+KEY_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z+/_=-]*[0-9])(?=[^A-Z\s]*[A-Z])(?=[^a-z\s]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"(?<![A-Za-z0-9.-])(?:https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|(?:[a-z0-9-]{1,63}\.){1,8}(?:com|net|org|io|cloud|internal|local)(?::[0-9]{1,5})?)(?![A-Za-z0-9-])"
 
 BASE = ("assign", "access", "hex")
