@@ -137,6 +137,22 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_across_paragraphs_and_within_lines(spark):
+    mit = licenses._MIT.replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE").replace("the Software. THE", "the Software.\n\nTHE")
+    apache = licenses._APACHE.replace("License. You", "License.\nYou").replace("at http", "at\n\n    http").replace("2.0 Unless", "2.0\n\nUnless")
+    more = " ".join(f"other{i} words{i}" for i in range(300))
+    line = "# Released under the MIT License. See LICENSE for details."
+    lesser = "This work is licensed under the GNU Lesser General Public License, version 3. " + more
+    texts = [f"{more}\n\n{mit}\n\n{more}", f"{more}\n\n{apache}\n\n{more}", line, more, lesser, "It was released under the Apache License 1.1 then.", f"{line} {more} {mit} {apache}"]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["licenses"] for i in range(7)] == ["MIT", "Apache-2.0", "MIT", "", "LGPL-3.0", "", "Apache-2.0,MIT"]
+    assert got[0]["dice"] > 0.99 and got[2]["dice"] == 1.0 and got[2]["n_matches"] == 1
+    own = {"X": ["a b c d e f"]}
+    words = "z a b q c d e f z a b c".split()
+    sets = [set(zip(words[i:j], words[i + 1 : j])) for i in range(12) for j in range(i + 2, 13)]
+    assert max(s for _, s in licenses.Matcher(own, 0.5).windows(" ".join(words))) == max(licenses.dice(licenses.bigrams("a b c d e f"), s) for s in sets)
+
+
 def test_packing(docs, empty):
     path = registry.tokenizer_path()
     encode = packing.WordEncoder(path)

@@ -5,6 +5,12 @@ whole text, its paragraphs (blocks between blank lines) and its lines. A unit of
 against a template of m only if ``t / (2 - t) <= n / m <= (2 - t) / t``; that bound leaves few templates for a unit, and
 none for most. One pass in Arrow batches, no shuffle; the templates are a fixed list.
 
+Licences that span paragraphs or are a part of a line are found by windows of words: at least ``t / (2 - t) * m`` of a
+template's bigrams must be in the text, which few texts meet. For those, windows from one shared bigram to another, up
+to ``(2 - t) / t`` times as long as the template, are compared. Of windows that overlap the best one counts. Windows of
+templates of more than 400 words start at every 200th part of the template at least, not at every word. Texts may say
+another version next to a short notice, so its window must hold all of the template's terms with digits.
+
 Defined results: null and empty texts match nothing. Equal scores go to the template named first by code point.
 Repeated rows get equal results. An empty table gives no rows. Extra columns are ignored.
 """
@@ -12,6 +18,8 @@ Repeated rows get equal results. An empty table gives no rows. Extra columns are
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -75,6 +83,10 @@ def bigrams(text: str) -> set[tuple[str, str]]:
     return set(zip(terms, terms[1:]))
 
 
+def _terms(text: str) -> list[str]:
+    return _TERM.findall(text.lower())
+
+
 def dice(a: set, b: set) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
@@ -85,6 +97,14 @@ class Matcher:
     def __init__(self, templates: dict[str, list[str]], threshold: float):
         self.threshold = threshold
         known = [(name, bigrams(t)) for name, texts in sorted(templates.items()) for t in texts]
+        texts = [_terms(t) for _, ts in sorted(templates.items()) for t in ts]
+        #: Name, bigrams, length in bigrams with repeats, and the terms that a window must hold.
+        self.windowed = [(name, own, len(t) - 1, {x for x in t if len(t) <= 30 and any(c.isdigit() for c in x)}) for (name, own), t in zip(known, texts, strict=True) if own]
+        self.having: dict[tuple[str, str], list[int]] = {}
+        for k, (_, own, _, _) in enumerate(self.windowed):
+            for b in own:
+                self.having.setdefault(b, []).append(k)
+        self.bigrams = frozenset(self.having)
         self.by_size: dict[int, list[tuple[str, set]]] = {}
         reach = (2 - threshold) / threshold
         for name, own in known:
@@ -101,13 +121,58 @@ class Matcher:
         return (min(name for s, name in scored if s == top), top) if top >= self.threshold else None
 
 
+    def windows(self, text: str) -> list[tuple[str, float]]:
+        """(name, score) of the windows of words that reach the threshold, the best of those that overlap."""
+        terms = _terms(text)
+        sequence = list(zip(terms, terms[1:]))
+        shared = Counter(k for b in self.bigrams.intersection(sequence) for k in self.having[b])
+        found = []
+        for k, n in shared.items():
+            name, own, length, must = self.windowed[k]
+            if n >= self.least(own):
+                found += [(-score, first - last, name, first, last) for score, first, last in self._reaching(terms, sequence, own, length, must)]
+        taken, out = bytearray(len(sequence)), []
+        for score, _, name, first, last in sorted(found):
+            if taken.find(1, first, last + 1) < 0:
+                taken[first : last + 1] = b"\1" * (last + 1 - first)
+                out.append((name, -score))
+        return out
+
+    def least(self, own: set) -> float:
+        return self.threshold / (2 - self.threshold) * len(own) - 1e-9
+
+    def _reaching(self, terms: list[str], sequence: list[tuple[str, str]], own: set, length: int, must: set) -> Iterator[tuple[float, int, int]]:
+        """The best window of each start, if it reaches the threshold: score, first and last bigram."""
+        hits = [i for i, b in enumerate(sequence) if b in own]
+        reach, least, stride, after = int(length * (2 - self.threshold) / self.threshold) + 1, self.least(own), length // 200, -1
+        for a, first in enumerate(hits):
+            b = bisect_left(hits, first + reach)
+            if b - a < least or first < after:
+                continue
+            after = first + stride
+            seen: set = set()
+            common, at, best = 0, first, (0.0, first)
+            for last in hits[a:b]:
+                # of the bigrams from at to last only the last one is in the template
+                common += sequence[last] not in seen
+                seen.update(sequence[at : last + 1])
+                at = last + 1
+                if (score := 2 * common / (len(seen) + len(own))) > best[0]:
+                    best = score, last
+            if best[0] >= self.threshold and must.issubset(terms[first : best[1] + 2]):
+                yield best[0], first, best[1]
+
+
 def units(text: str) -> list[str]:
     """The whole text, its paragraphs and its lines, without repeats and units that have no letter or digit."""
     return [u for u in dict.fromkeys([text, *_BLANK.split(text), *text.split("\n")]) if u and not u.isspace()]
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = 0.8) -> DataFrame:
-    """A row for each document, see FOUND: its best licence and all licences that some unit matches."""
+    """A row for each document, see FOUND: its best licence and all licences that some unit or window matches.
+
+    n_matches counts units that match, and windows of licences that no unit matches.
+    """
     ship(docs.sparkSession)
     known = TEMPLATES if templates is None else templates
 
@@ -118,9 +183,12 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = units(text)
                 hits = [b for u in own if (b := matcher.best(u))]
+                n_matches, wider = len(hits), matcher.windows(text)
+                n_matches += sum(n not in {m for m, _ in hits} for n, _ in wider)
+                hits += wider
                 names = sorted({n for n, _ in hits})
                 top = max((s for _, s in hits), default=None)
-                out.append((doc, len(own), len(hits), min((n for n, s in hits if s == top), default=None), top, ",".join(names)))
+                out.append((doc, len(own), n_matches, min((n for n, s in hits if s == top), default=None), top, ",".join(names)))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
