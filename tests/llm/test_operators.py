@@ -153,6 +153,16 @@ def test_licenses_across_paragraphs_and_within_lines(spark):
     assert max(s for _, s in licenses.Matcher(own, 0.5).windows(" ".join(words))) == max(licenses.dice(licenses.bigrams("a b c d e f"), s) for s in sets)
 
 
+def test_licenses_of_full_texts_and_headers(spark):
+    full, more = licenses.full, " ".join(f"other{i} words{i}" for i in range(300))
+    texts = {"Apache-2.0": full.APACHE_2, "BSD-2-Clause": full.BSD_2, "BSD-3-Clause": full.BSD_3, "CC0-1.0": full.CC0_1, "GPL-2.0": full.GPL_2, "GPL-3.0": full.GPL_3, "LGPL-3.0": full.LGPL_3, "MPL-2.0": full.MPL_2}
+    gpl = licenses._GPL.replace("\n", " ")
+    headers = [("GPL-3.0", gpl), ("GPL-2.0", gpl.replace("version 3", "version 2")), ("LGPL-3.0", gpl.replace("GNU General", "GNU Lesser General")), ("GPL-2.0", licenses._GPL_2)]
+    rows = [(n, f"{more}\n\n{t}\n\n{more}") for n, t in texts.items()] + headers + [(n, f"{t} {more}") for n, t in headers]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["license"], r["licenses"]) for r in got} == {i: (n, n) for i, (n, _) in enumerate(rows)}
+
+
 def test_packing(docs, empty):
     path = registry.tokenizer_path()
     encode = packing.WordEncoder(path)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import license_texts as full
 from tidemark.llm.common import text_of
 from tidemark.shipping import ship
 
@@ -57,20 +58,29 @@ later version. This program is distributed in the hope that it will be useful, b
 the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
 details. You should have received a copy of the GNU General Public License along with this program. If not, see
 https://www.gnu.org/licenses/."""
+_GPL_2 = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any
+later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+details. You should have received a copy of the GNU General Public License along with this program; if not, write to the
+Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."""
+#: The same with the last sentence of newer headers.
+_GPL_2_NEW = _GPL.replace("version 3", "version 2")
+_LGPL = _GPL.replace("GNU General", "GNU Lesser General")
 TEMPLATES: dict[str, list[str]] = {
-    "Apache-2.0": [_APACHE, "Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0."],
-    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "Licensed under the 2-Clause BSD License."],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Licensed under the 3-Clause BSD License."],
+    "Apache-2.0": [full.APACHE_2, _APACHE, "Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0."],
+    "BSD-2-Clause": [full.BSD_2, "Released under the BSD 2-Clause License.", "Licensed under the 2-Clause BSD License."],
+    "BSD-3-Clause": [full.BSD_3, "Released under the BSD 3-Clause License.", "Licensed under the 3-Clause BSD License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC0-1.0": ["Licensed under CC0 1.0.", "This work is dedicated to the public domain under CC0 1.0 Universal."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": [_GPL, "This work is licensed under the GNU General Public License, version 3."],
+    "CC0-1.0": [full.CC0_1, "Licensed under CC0 1.0.", "This work is dedicated to the public domain under CC0 1.0 Universal."],
+    "GPL-2.0": [full.GPL_2, _GPL_2, _GPL_2_NEW, "This work is licensed under the GNU General Public License, version 2."],
+    "GPL-3.0": [full.GPL_3, _GPL, "This work is licensed under the GNU General Public License, version 3."],
     "ISC": [_ISC, "Released under the ISC License."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "LGPL-3.0": [full.LGPL_3, _LGPL, "This work is licensed under the GNU Lesser General Public License, version 3."],
     "MIT": [_MIT, "Released under the MIT License.", "Licensed under the MIT License."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "MPL-2.0": [full.MPL_2, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
 _TERM = re.compile(r"[^\W_]+")
 _BLANK = re.compile(r"\n[^\S\n]*\n")
