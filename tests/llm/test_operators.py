@@ -382,5 +382,20 @@ def test_pseudonyms_beside_other_numbers(spark):
         assert values[r["kind"]] not in r["text"] or alone[r["kind"]] == values[r["kind"]]
 
 
+def test_pseudonyms_of_world_formats(spark):
+    rows = [
+        ("date", "15.01.2024"), ("date", "1/5/1980"), ("date", "2024-01-15T10:00:00Z"), ("phone", "+44 20 7946 0958"), ("phone", "+442079460958"), ("phone", "+44 (0)20 7946 0958"),
+        ("phone", "+49 30 12345678"), ("phone", "+33 1 23 45 67 89"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "GB82WEST12345698765432"), ("iban", "DE89 3704 0044 0532 0130 00"),
+    ]
+    more = [(k, v, v) for k, v in rows] + [(k, v, f"90 {v} 12/25 BIC") for k, v in rows if "49 30" not in v]
+    got = pii.pseudonymise(spark.createDataFrame(more, "kind string, own string, text string")).collect()
+    alone = {r["own"]: r["text"] for r in got[: len(rows)]}
+    for r in got:
+        assert r[f"n_{r['kind']}"] == 1 and sum(r[f"n_{k}"] for k in pii.KINDS) == 1 and r["own"] not in r["text"] and alone[r["own"]] in r["text"], r
+    assert alone["+44 20 7946 0958"].replace(" ", "") == alone["+442079460958"] == alone["+44 (0)20 7946 0958"].replace("(0)", "").replace(" ", "") and alone["+442079460958"].startswith("+44")
+    assert alone["GB82 WEST 1234 5698 7654 32"].replace(" ", "") == alone["GB82WEST12345698765432"] and alone["GB82 WEST 1234 5698 7654 32"][4::5] == "     "
+    assert re.fullmatch(r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", alone["15.01.2024"]) and alone["2024-01-15T10:00:00Z"].endswith("T10:00:00Z")
+
+
 def test_digest():
     assert hashlib.sha256(b"ab").hexdigest().startswith("fb8e20fc")
