@@ -319,6 +319,15 @@ def brute_spans(t):
     return ",".join(s for *_, s in sorted(out))
 
 
+def test_mixed_documents_of_repeated_rows(spark):
+    rows = [(1, "one two three", "a")] * 7 + [(2, "four five", "b")] * 5 + [(3, "six", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r["doc_id"]: r["n"] for r in mixing.mix(df).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect() if r["n"]}
+    decided = {(r["doc_id"], r["copies"]) for r in mixing.mix(df).collect()}
+    assert len(decided) > len({i for i, _ in decided})
+    assert {r["doc_id"]: r["count"] for r in mixing.mixed_documents(df).groupBy("doc_id").count().collect()} == want
+
+
 def test_secrets(spark, docs, empty):
     linked = "id Q7ABCDEFGH12 key abCD1234efGH5678ijKL at https://x.example.com"
     extra = [(20, linked), (21, "key abCD1234efGH5678ijKL alone"), (22, "𝄞 token = \"abcdef12\" AKIAAKIA9 x " + "0" * 24)]

@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, small, text_of
@@ -137,6 +137,14 @@ def row_key(docs: DataFrame) -> Column:
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The documents of the mix, each as often as it has copies; columns as in docs."""
-    copies = mix(docs, weights, cap).groupBy("_row").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.withColumn("_row", row_key(docs)).join(small(cut(copies, "copies")), "_row")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    by_row = mix(docs, weights, cap).groupBy("_row").agg(F.max("copies").alias("_copies"), F.min("copies").alias("_least"), F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    copies = cut(by_row.where("_copies > 0"), "copies")
+    keyed, even, uneven = docs.withColumn("_row", row_key(docs)), copies.where("_copies = _least"), copies.where("_copies > _least")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    taken = keyed.join(small(even), "_row").select(*columns, "_copies")
+    if not uneven.isEmpty():
+        # equal rows of which some have more copies than others: each takes its share of their sum
+        placed = keyed.join(small(uneven), "_row").withColumn("_k", F.row_number().over(Window.partitionBy("_row").orderBy("_row")).cast("long"))
+        share = F.expr("(_sum * _k) div _n - (_sum * (_k - 1)) div _n")
+        taken = taken.unionByName(placed.withColumn("_copies", share).where("_copies > 0").select(*columns, "_copies"))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
