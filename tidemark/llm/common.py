@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,24 +41,38 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: later plans start there, and a lost
-    executor costs no recomputation. Files go when the driver's Python ends."""
+    executor costs no recomputation. Files go with free, or when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(_remove)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove the files of cut tables that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path and (df.sparkSession, path) in _written:
+            _written.remove((df.sparkSession, path))
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _remove() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended first; the shared folder's owner cleans up then
-            return
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001, S112 - a session that has ended can't delete; the others still can
+            continue
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -67,6 +85,54 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def attach(rows: DataFrame, side: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows left-joined with side (a cut table, a row for each key), whose columns must be new but for key.
+
+    A small side is broadcast. Of a larger one the keys of most weight (rows that they meet) are, BROADCAST_ROWS // 10
+    of them; what they leave is joined by a shuffle, in which rows that are done or have no key are dealt at random. So
+    no task gets all rows of a heavy key.
+    """
+    if is_small(side):
+        return rows.join(F.broadcast(side), key, "left")
+    heavy = cut(side.orderBy(F.col(weight).desc(), key).limit(BROADCAST_ROWS // 10), "heavy")
+    columns = [c for c in side.columns if c != key]
+    first = rows.join(F.broadcast(heavy.select(key, F.struct(*columns).alias("_heavy"))), key, "left")
+    done = F.col("_heavy").isNotNull() | F.col(key).isNull()
+    first = first.withColumn("_deal", F.when(done, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if _hashable(rows, c)]))).withColumn("_open", F.when(~done, F.col(key)))
+    other = side.join(F.broadcast(heavy.select(key)), key, "left_anti").select(F.lit(None).cast("long").alias("_no"), F.col(key).alias("_key"), F.struct(*columns).alias("_light"))
+    joined = first.join(other, F.col("_deal").eqNullSafe(F.col("_no")) & F.col("_open").eqNullSafe(F.col("_key")), "left")
+    found = F.coalesce("_heavy", "_light")
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *[found[c].alias(c) for c in columns])
+
+
+def _hashable(rows: DataFrame, column: str) -> bool:
+    return "map<" not in rows.schema[column].dataType.simpleString() and "variant" not in rows.schema[column].dataType.simpleString()
+
+
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with the columns that an operator doesn't use renamed, so that none clashes with its own."""
+    return docs.toDF(*[c if c in used else f"_aside_{i}" for i, c in enumerate(docs.columns)])
+
+
+def back(found: DataFrame, docs: DataFrame, used: tuple[str, ...], added: Iterable[str] = ()) -> DataFrame:
+    """What an operator made of aside(docs, *used): columns of docs under their own names, then the added ones. A column
+    of docs that is named as an added one gives way to it."""
+    added = list(added)
+    own = [F.col(f"`{c}`" if c in used else f"_aside_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in added]
+    return found.select(*own, *added)
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about so many bytes of text, a row at least: Python holds one piece at a time."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).cumsum()
+    start = 0
+    while start < batch.num_rows:
+        before = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

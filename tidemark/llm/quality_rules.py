@@ -39,13 +39,14 @@ class Rule:
 
 
 RULES = (
-    Rule("length", "n_words between 50 and 100000", "n_words < 20"),
-    Rule("word_length", "word_chars between 3 * n_words and 8 * n_words", "word_chars < 2 * n_words or word_chars > 10 * n_words"),
     Rule("symbols", "100 * n_symbols < n_words", "10 * n_symbols > n_words"),
+    Rule("letters", "100 * n_letters > 90 * word_chars", "100 * n_letters < 80 * word_chars"),
+    Rule("plain_words", "100 * n_plain > 85 * n_words", "100 * n_plain < 65 * n_words"),
     Rule("capitals", "10 * n_upper < word_chars", "10 * n_upper > 3 * word_chars"),
     Rule("marks", "50 * n_marks < n_words", "5 * n_marks > n_words"),
     Rule("lines", "n_dup_lines = 0 and n_lines > 1", "10 * n_dup_lines > 3 * n_lines"),
     Rule("repeats", "50 * n_repeat_words < n_words", "5 * n_repeat_words > n_words"),
+    Rule("stutters", "50 * n_stutters < n_words", "8 * n_stutters > n_words"),
     Rule("lists", "n_pipes = 0", "10 * n_pipes > n_words"),
 )
 
@@ -62,7 +63,8 @@ def measure(docs: DataFrame) -> DataFrame:
         stats.word_chars(t).alias("word_chars"),
         stats.duplicate_lines(t).alias("n_dup_lines"),
         stats.repeated_words(h).alias("n_repeat_words"),
-        *[plain[k].alias(k) for k in ("n_symbols", "n_lines", "n_upper", "n_marks", "n_pipes")],
+        stats.stutters(h).alias("n_stutters"),
+        *[plain[k].alias(k) for k in ("n_symbols", "n_lines", "n_upper", "n_marks", "n_pipes", "n_letters", "n_plain")],
     )
 
 

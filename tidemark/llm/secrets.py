@@ -1,17 +1,19 @@
 """Secret scans: strong patterns on their own, weak ones only where complementary parts of a credential meet.
 
-Strong (base) kinds are reported as found: assign, access, hex. Weak candidates are identifiers (key_id), secrets
-(key_secret) and endpoints. A weak candidate counts only if what completes it lies within ``scope`` code points of
-it in the same text: a secret needs an identifier or an endpoint, an identifier needs a secret, an endpoint needs
-both. Strong kinds complete weak ones: access as identifier; assign and hex as secrets.
+Strong (base) kinds are reported as found: assign, access, hex. Weak candidates are identifiers (key_id, and login:
+an assigned user, account or client name, or an e-mail address), secrets (key_secret) and endpoints. A weak candidate
+counts only if what completes it lies within ``scope`` code points of it in the same text, outside of its own span: a
+secret needs an identifier or an endpoint, an identifier needs a secret, an endpoint needs both. Strong kinds complete
+weak ones: access as identifier; assign and hex as secrets. So an address alone is no finding; one beside a token is.
 
 The text is read once, into arrays of spans. Spans of documents that have a weak candidate become rows; the interval
 join is an equi-join on document and cell (cells are as long as the scope; a span lies in each cell it reaches) with
 the exact distance as condition, as a semi-join: a candidate comes out once however many parts complete it. A cell
 holds few spans, since spans of a kind don't overlap, so no document makes a quadratic number of comparisons.
 
-Defined results: null and empty texts have no spans. Repeated rows get equal results. An empty table gives no rows.
-Positions are code points, ends exclusive.
+Defined results: null and empty texts have no spans. Texts of any length are searched whole. Spans that start together
+come in the order of KINDS. Repeated rows get equal results. An empty table gives no rows. Columns other than doc_id and
+text are ignored. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 # Weak parts of credentials.
-KEY_ID = r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])[A-Z][A-Z0-9]{11,31}(?![A-Za-z0-9])"
+KEY_ID = r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])[A-Z][A-Z0-9]{11,}+(?![A-Za-z0-9])"
 KEY_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z+/_=-]*[0-9])(?=[^A-Z\s]*[A-Z])(?=[^a-z\s]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"(?<![A-Za-z0-9.-])(?:https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|(?:[a-z0-9-]{1,63}\.){1,8}(?:com|net|org|io|cloud|internal|local)(?::[0-9]{1,5})?)(?![A-Za-z0-9-])"
+LOGIN = r"""(?:(?<![A-Za-z0-9])(?i:user(?:_?name|_?id)?|login|account(?:_?(?:name|id))?|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})"""
+ENDPOINT = r"(?<![A-Za-z0-9.@-])(?:https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|(?:[a-z0-9-]{1,63}\.){1,8}(?:com|net|org|io|cloud|internal|local)(?::[0-9]{1,5})?)(?![A-Za-z0-9-])"
 
 BASE = ("assign", "access", "hex")
-WEAK = ("key_id", "key_secret", "endpoint")
+WEAK = ("key_id", "login", "key_secret", "endpoint")
 KINDS = BASE + WEAK
 SCOPE = 200
 
@@ -78,6 +81,7 @@ def parts(docs: DataFrame) -> DataFrame:
         "access": spans(t, ACCESS, LEAST["access"]),
         "hex": _hex_spans(t),
         "key_id": spans(t, KEY_ID),
+        "login": spans(t, LOGIN),
         "key_secret": spans(t, KEY_SECRET),
         "endpoint": spans(t, ENDPOINT),
     }
@@ -106,9 +110,9 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
         on = (F.col("_k1") == F.col("r_k1")) & (F.col("_k2") == F.col("r_k2")) & (F.col("_cell") == F.col("r_cell")) & apart & reach
         return left.join(right, on, "left_semi").select("_k1", "_k2", "kind", "start", "end").distinct()
 
-    identifiers, secrets = ("access", "key_id"), ("assign", "hex", "key_secret")
+    identifiers, secrets = ("access", "key_id", "login"), ("assign", "hex", "key_secret")
     of = {k: rows.where(F.col("kind") == k) for k in WEAK}
-    got = [near(of["key_secret"], (*identifiers, "endpoint")), near(of["key_id"], secrets), near(near(of["endpoint"], identifiers), secrets)]
+    got = [near(of["key_secret"], (*identifiers, "endpoint")), near(of["key_id"].union(of["login"]), secrets), near(near(of["endpoint"], identifiers), secrets)]
     return reduce(DataFrame.unionByName, got)
 
 

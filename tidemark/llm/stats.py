@@ -22,6 +22,8 @@ def counts(text: Column) -> dict[str, Column]:
         "n_digits": F.regexp_count(text, F.lit("[0-9]")),
         "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")),
         "n_stops": F.regexp_count(text, F.lit(r"[.,;:]")),
+        "n_letters": F.regexp_count(text, F.lit(r"\p{L}")),
+        "n_plain": F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])\p{L}++[.,;:!?]?(?![^\x20\x09-\x0D])")),
         "n_pipes": F.regexp_count(text, F.lit(r"[|•]|\n[-*] ")),
     }
     return {k: v.cast("long") for k, v in own.items()}
@@ -63,6 +65,11 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     return once(windows, of)
 
 
+def stutters(hashes: Column) -> Column:
+    """Words that equal the word before them."""
+    return F.size(F.filter(hashes, lambda h, i: h == F.get(hashes, i - 1))).cast("long")
+
+
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once though use names it several times."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
