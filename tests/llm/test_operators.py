@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import oracle_rows, rows_of
-from tidemark.llm import exact_dedup, licenses, mixing, neardup, packing, pii, quality_classifier, quality_rules, registry, secrets, toxicity
+from tidemark.llm import common, exact_dedup, licenses, mixing, neardup, packing, pii, quality_classifier, quality_rules, registry, secrets, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = " ".join(f"word{i} and more{i % 7}" for i in range(80))
@@ -94,7 +94,7 @@ def test_counterfactuals_take_weight_from_identity_terms():
     plain, _ = toxicity.fit_logistic(x, y, [], len(vocabulary), 1e-4, 0.0)
     fair, _ = toxicity.fit_logistic(x, y, pairs, len(vocabulary), 1e-4, 10.0)
     assert plain[1] - plain[2] > 2 and abs(fair[1] - fair[2]) < 0.5 and fair[0] > 1
-    assert all(len(s) == len({"a", "muslim", "woman"}) for s in toxicity.swapped({"a", "muslim", "woman"}))
+    assert all(len(s) == len({"a", "muslim", "woman"}) for s in toxicity.swapped({"a", "muslim", "woman"}, toxicity.swaps_of(toxicity.IDENTITY_TERMS.values())))
 
 
 def test_exact_dedup(docs, empty):
@@ -113,8 +113,7 @@ def test_exact_dedup(docs, empty):
 
 def test_exact_dedup_past_the_broadcast_limit(docs, monkeypatch):
     want = rows_of(exact_dedup.mark(docs))
-    monkeypatch.setattr(exact_dedup, "is_small", lambda df: False)
-    monkeypatch.setattr(exact_dedup, "small", lambda df: df)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
     assert rows_of(exact_dedup.mark(docs)) == want
 
 
@@ -294,9 +293,30 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
 def test_targets_and_newton():
     goal = mixing.targets({"a": 100, "b": 1000, "c": 10, None: 50})
     assert goal["a"] == 300 and goal[None] == 150 and sum(goal.values()) == pytest.approx(1160) and goal["b"] <= 3000 and goal["c"] == 30
-    cells = np.array([[1.0, 0, 1], [1, 0, 0], [0, 1, 1], [0, 1, 0]])
-    lam = mixing.dual_newton(cells, np.array([10.0, 20, 30, 40]), np.array([45.0, 60, 50]))
-    assert cells.T @ (np.array([10.0, 20, 30, 40]) * np.exp(cells @ lam)) == pytest.approx([45, 60, 50])
+    random = np.random.default_rng(2)
+    sizes = random.integers(0, 1000, (30, 4)).astype(float)
+    own, whole = sizes.sum(axis=1), sizes.sum(axis=0)
+    goal = own * random.uniform(0.2, 3, 30)
+    goal[:2] = [3 * own[0], 0]
+    share, total, slack = whole * goal.sum() / whole.sum(), goal.sum(), 1e-3
+    mu, steps = mixing.balance(lambda m: mixing.dual_terms(sizes, goal, m), share, total, slack)
+    rate = np.minimum(3, np.exp(np.minimum(mixing.source_tilts(sizes, goal, mu)[:, None] + mu, 50)))
+    assert (sizes * rate).sum(axis=1) == pytest.approx(goal, abs=1e-6 * total)
+    assert share - (sizes * rate).sum(axis=0) == pytest.approx(slack * total * mu, abs=1e-6 * total)  # what the fine asks for
+
+    def fined(r):
+        entropy = (sizes * (r * np.log(np.maximum(r, 1e-300)) - r + 1)).sum()
+        return entropy + (((sizes * r).sum(axis=0) - share) ** 2).sum() / (2 * slack * total)
+
+    best = fined(rate)
+    for _ in range(200):  # no other rates that meet the sources cost less
+        step = random.normal(0, 1e-3, rate.shape) * (rate < 3) * (rate > 0) * (sizes > 0)
+        step -= ((sizes * step).sum(axis=1) / np.maximum((sizes * (step != 0)).sum(axis=1), 1))[:, None] * (step != 0)
+        if (rate + step).max() <= 3 and (rate + step).min() >= 0:
+            assert fined(rate + step) >= best - 1e-6
+    assert 1 < steps < 20 and np.abs(mu).max() > 0.01
+    off = np.abs((sizes * np.minimum(3, np.exp(np.minimum(mixing.source_tilts(sizes, goal, 0 * mu)[:, None], 50)))).sum(axis=0) - share).max()
+    assert np.abs((sizes * rate).sum(axis=0) - share).max() < off / 5  # sources alone miss the classes
 
 
 def test_mixing(docs, empty, spark, sf):

@@ -75,12 +75,13 @@ def _remove() -> None:
             continue
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; it is counted, so pass a cut table."""
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether df has at most so many rows (BROADCAST_ROWS); it is counted, so pass a cut table."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return df.limit(rows + 1).count() <= rows
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if it is small, else df as it is, for Spark to shuffle."""
     return F.broadcast(df) if is_small(df, rows) else df
 
@@ -88,13 +89,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def attach(rows: DataFrame, side: DataFrame, key: str, weight: str) -> DataFrame:
     """rows left-joined with side (a cut table, a row for each key), whose columns must be new but for key.
 
-    A small side is broadcast. Of a larger one the keys of most weight (rows that they meet) are, BROADCAST_ROWS // 10
+    A small side is broadcast. Of a larger one the keys of most weight (rows that they meet) are, a tenth of BROADCAST_ROWS
     of them; what they leave is joined by a shuffle, in which rows that are done or have no key are dealt at random. So
     no task gets all rows of a heavy key.
     """
     if is_small(side):
         return rows.join(F.broadcast(side), key, "left")
-    heavy = cut(side.orderBy(F.col(weight).desc(), key).limit(BROADCAST_ROWS // 10), "heavy")
+    heavy = cut(side.orderBy(F.col(weight).desc(), key).limit(max(1, BROADCAST_ROWS // 10)), "heavy")
     columns = [c for c in side.columns if c != key]
     first = rows.join(F.broadcast(heavy.select(key, F.struct(*columns).alias("_heavy"))), key, "left")
     done = F.col("_heavy").isNotNull() | F.col(key).isNull()

@@ -11,7 +11,7 @@ to ``(2 - t) / t`` times as long as the template, are compared. Of windows that
 templates of more than 400 words start at every 200th part of the template at least, not at every word. Texts may say
 another version next to a short notice, so its window must hold all of the template's terms with digits.
 
-Defined results: null and empty texts match nothing. Equal scores go to the template named first by code point.
+Defined results: null and empty texts match nothing. Texts of any length are compared whole, one at a time. Equal scores go to the template named first by code point.
 Repeated rows get equal results. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -85,7 +85,7 @@ TEMPLATES: dict[str, list[str]] = {
 _TERM = re.compile(r"[^\W_]+")
 _BLANK = re.compile(r"\n[^\S\n]*\n")
 
-FOUND = "doc_id long, n_units long, n_matches long, license string, dice double, licenses string"
+FOUND = "doc_id {}, n_units long, n_matches long, license string, dice double, licenses string"
 
 
 def bigrams(text: str) -> set[tuple[str, str]]:
@@ -190,7 +190,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
         matcher = Matcher(known, threshold)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                doc, text = doc.as_py(), text.as_py()
                 own = units(text)
                 hits = [b for u in own if (b := matcher.best(u))]
                 n_matches, wider = len(hits), matcher.windows(text)
@@ -200,7 +201,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
                 top = max((s for _, s in hits), default=None)
                 out.append((doc, len(own), n_matches, min((n for n, s in hits if s == top), default=None), top, ",".join(names)))
             columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string()]
+            kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, FOUND)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, FOUND.format(docs.schema["doc_id"].dataType.simpleString()))

@@ -12,18 +12,26 @@ all its members. The bucket's head is its most popular member, the one with the
 in a family of copies that is one with few edits of its own, near to all others. All members are verified against the head
 on whole shingles (a star). Large buckets whose members then still lie in different components take their next most
 popular member as head, for members of other components, round after round, until a round finds no new link. These
-steps are linear in the members of the buckets, and join nearly all that belongs together.
+steps are linear in the members of the buckets, and join nearly all that belongs together. A head is compared with its
+members in blocks of text, each a task's work of its own, so its text goes along once a block and not once a pair.
 
-What they leave is settled for good: in every bucket that still holds several components, the members outside its
+What they leave is settled for good, in two steps. First an exact filter: shingles have one order over all texts, rare ones
+first, and a text's prefix ends where what follows holds less than the threshold of its weight; two texts at the threshold
+share a shingle of both prefixes. Texts of buckets with several components that share no prefix shingle with another
+component are out; pages that have only a frequent template in common are. Of the others, in every such bucket the members outside its
 largest component are compared with all members of other components on whole shingles, block by block; only links
-become rows. So no pair of a bucket stays untried unless its ends are connected already. Components come from label
-propagation with pointer jumping.
+become rows. So no pair of a bucket stays untried unless its ends are connected already or it can't reach the threshold.
+Components come from label propagation with pointer jumping.
+
+Buckets and nodes of many members are never one task's work: what a bucket's members look up (its head, whether it is settled)
+is broadcast, if not for all buckets then for those of more than HOT members; nodes of more than HOT links are salted.
 
 The threshold is 0.8. With 25 bands of 5 registers a pair at 0.8 misses all buckets with probability 0.00005.
 
 Defined results: null and empty texts, and texts of white space, are equal only to equal texts (null counts as
-empty). Rows that repeat a doc_id and text are one document. An empty table gives no rows. A class is named by its
-smallest doc_id; ties and repeated rows don't change it.
+empty). Texts of any length are compared whole, about a megabyte of them at a time. Rows that repeat a doc_id and text are one
+document. An empty table gives no rows. A class is named by its smallest doc_id; ties and repeated rows don't change it.
+Other columns are kept whatever their names are, but for class_id, class_size and kept, which give way to the results.
 """
 
 from __future__ import annotations
@@ -35,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small, text_of
+from tidemark.llm.common import aside, attach, back, cut, free, is_small, slices, small, text_of
 from tidemark.shipping import ship
 
 SHINGLE = 5
@@ -48,6 +56,10 @@ FEW = 16
 BLOCK = 1 << 19
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
+#: Members of a bucket, or links of a node, beyond which it is dealt out.
+HOT = 100_000
+#: So many of the most frequent shingles come last in prefixes, in order of their counts.
+FREQUENT = 100_000
 
 _MUL1, _MUL2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -147,36 +159,22 @@ def _lower(column: pa.Array) -> list[bytes]:
     return [t.lower().encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_key, bands): a key that equal texts share, and the band hashes (null without words)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lists = _lower(batch.column(2)), []
-            for a, b in _chunks(texts):
-                ends = np.cumsum([len(t) for t in texts[a:b]])
-                doc, shingle, weight = shingle_weights(np.frombuffer(b"".join(texts[a:b]), np.uint8), ends)
-                keys = band_keys(signatures(doc, shingle, weight, b - a, bands * rows), bands, rows)
-                some = np.bincount(doc, minlength=b - a) > 0
-                offsets = np.arange(0, (b - a + 1) * bands, bands, dtype=np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()), mask=pa.array(~some)))
-            found = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["doc_id", "text_key", "bands"])
+        for whole in batches:
+            for batch in slices(whole, 2, CHUNK):
+                texts, n = _lower(batch.column(2)), batch.num_rows
+                doc, shingle, weight = shingle_weights(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
+                keys = band_keys(signatures(doc, shingle, weight, n, bands * rows), bands, rows)
+                some = np.bincount(doc, minlength=n) > 0
+                found = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()), mask=pa.array(~some))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["doc_id", "text_key", "bands"])
 
-    keyed = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), text_of().alias("text"))
-    return keyed.mapInArrow(run, "doc_id long, text_key binary, bands array<bigint>")
+    keyed = docs.select("doc_id", text_key().alias("text_key"), text_of().alias("text"))
+    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key binary, bands array<bigint>")
 
 
 def text_key():
@@ -203,81 +201,103 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs at the threshold or above, on whole texts. texts: (text_key, text)."""
+    """(a, b, similarity) of the pairs (hub, other) at the threshold or above, on whole texts. texts: (text_key, text, bytes).
+
+    A hub's others are dealt into blocks of text, and the hub's text is sent to each block.
+    """
     ship(pairs.sparkSession)
+    sized = pairs.join(texts.select(F.col("text_key").alias("other"), "bytes"), "other")
+    blocks = cut(sized.groupBy("hub").agg(F.ceil(F.sum("bytes") / BLOCK).alias("blocks")).withColumn("blocks", F.greatest("blocks", F.lit(1))), "blocks")
+    dealt = pairs.join(small(blocks), "hub").select("hub", "other", F.pmod(F.xxhash64("other"), "blocks").alias("block"))
+    others = dealt.join(texts.select(F.col("text_key").alias("other"), "text"), "other").select("hub", "block", F.col("other").alias("key"), "text")
+    hubs = blocks.join(texts.select(F.col("text_key").alias("hub"), "text"), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("key"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+    def run(group: pa.Table) -> pa.Table:
+        hub, rows = group.column("hub")[0].as_py(), list(zip(group.column("key").to_pylist(), group.column("text").to_pylist(), strict=True))
+        found = block_links([(k, b"hub", t) for k, t in rows if k == hub], [(k, b"", t) for k, t in rows if k != hub], threshold)
+        a, b, similarity = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(similarity, pa.float64())})
 
-        def of(key: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
-            if key not in known:
-                data = text.lower().encode("utf-8", "surrogatepass")
-                known[key] = shingle_weights(np.frombuffer(data, np.uint8), np.array([len(data)]))[1:]
-            return known[key]
+    return others.unionByName(hubs).groupBy("hub", "block").applyInArrow(run, "a binary, b binary, similarity double")
+
+
+def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
+    """(node, label) for all nodes of the edges (a, b): the label is the component's smallest node.
+
+    Links of nodes of more than hot links are dealt to so many parts, and those nodes' labels go to each part.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = cut(both, "edges")
+    hubs = cut(both.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("b", F.ceil(F.col("n") / hot).alias("parts")), "hubs")
+    some = not hubs.isEmpty()
+    if some:
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = cut(both.join(small(hubs), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part")), "dealt")
+        free(both)
+        both = dealt
+
+    def at_neighbours(labels: DataFrame) -> DataFrame:
+        own = labels.select(F.col("node").alias("b"), "label")
+        if not some:
+            return both.join(own, "b")
+        own = own.join(small(hubs), "b", "left").select("b", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        return both.join(own, ["b", "part"])
 
-        for batch in batches:
-            if len(known) > 200:
-                known.clear()
-            kept: list[int] = []
-            scores: list[float] = []
-            a, b, s, t = (batch.column(i) for i in range(4))
-            for i in range(batch.num_rows):
-                key = a[i].as_py()
-                own = of(key, s[i].as_py()) if key not in known else known[key]
-                data = t[i].as_py().lower().encode("utf-8", "surrogatepass")
-                other = shingle_weights(np.frombuffer(data, np.uint8), np.array([len(data)]))[1:]
-                if (score := probability_jaccard(own, other)) >= threshold - 1e-12:
-                    kept.append(i)
-                    scores.append(score)
-                if len(known) > 200:
-                    known.clear()
-            rows = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows), pa.array(scores, pa.float64())], ["a", "b", "similarity"])
-
-    left = texts.select(F.col("text_key").alias("a"), F.col("text").alias("s"))
-    right = texts.select(F.col("text_key").alias("b"), F.col("text").alias("t"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary, similarity double")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for all nodes of the edges (a, b): the label is the component's smallest node."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = at_neighbours(labels).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), "labels")
+        # many nodes share a label: it is looked up once for each
+        wider = step.select("label").distinct().join(jump, "label")
+        new = cut(step.join(small(cut(wider, "jump")), "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), "labels")
+        free(labels)
         labels = new.select("node", "label")
+        labels._cut_path = new._cut_path
         if new.where("label < old").isEmpty():
+            free(both, hubs)
             return labels
 
 
 def _fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(text_key, text) of the wanted keys, once each. Only their texts are shuffled if the keys are few."""
+    """(text_key, text, bytes) of the wanted keys, once each. Only their texts are shuffled if the keys are few."""
     wanted = small(cut(keys.distinct(), "wanted"))
     own = docs.select(text_key().alias("text_key"), text_of().alias("text"))
-    return cut(own.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "texts")
+    once = own.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    return cut(once.withColumn("bytes", F.octet_length("text").cast("long")), "texts")
+
+
+def _at_buckets(rows: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (bucket, members, ...) joined with side (a cut table; bucket, members, ...) on the bucket. Broadcast if side is
+    small, else for buckets of more than HOT members, of which there are few: all members divided by HOT at most."""
+    if is_small(side):
+        return rows.join(F.broadcast(side.drop("members")), "bucket", how)
+    few = cut(side.where(F.col("members") > HOT).drop("members"), "hot")
+    hot = rows.where(F.col("members") > HOT).join(small(few), "bucket", how)
+    return hot.unionByName(rows.where(F.col("members") <= HOT).join(side.where(F.col("members") <= HOT).drop("members"), "bucket", how))
 
 
 def _populous(distinct: DataFrame) -> DataFrame:
     """(bucket, members, text_key, rank) for buckets with two texts or more; rank orders texts by their company."""
     buckets = distinct.select(F.explode("bands").alias("bucket"), "text_key")
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    by_text = buckets.join(shared, "bucket").groupBy("text_key").agg(F.sum("members").alias("company"), F.collect_list(F.struct("bucket", "members")).alias("own"))
+    shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
+    if is_small(shared):
+        of_texts = buckets.join(F.broadcast(shared), "bucket")
+    else:
+        hot = shared.where(F.col("members") > HOT)
+        of_texts = buckets.join(small(cut(hot, "hot")), "bucket").unionByName(buckets.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti").join(shared.where(F.col("members") <= HOT), "bucket"))
+    by_text = of_texts.groupBy("text_key").agg(F.sum("members").alias("company"), F.collect_list(F.struct("bucket", "members")).alias("own"))
     out = by_text.select("text_key", F.struct("company", "text_key").alias("rank"), F.explode("own").alias("o"))
-    return cut(out.select("o.bucket", "o.members", "text_key", "rank"), "members")
+    found = cut(out.select("o.bucket", "o.members", "text_key", "rank"), "members")
+    free(shared)
+    return found
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with their labels."""
     known = members.join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
-    mixed = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    return known.join(mixed, "bucket", "left_semi")
-
-
-def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("members").alias("members")).where("lo != hi").select("bucket", "members")
+    return _at_buckets(known, cut(mixed, "mixed"), "left_semi")
 
 
 def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -293,6 +313,8 @@ def block_links(left: list[tuple[bytes, bytes, str]], right: list[tuple[bytes, b
     The probability Jaccard is at most the sum of the smaller shares of each shingle, which is made for all of right
     at once; what passes is measured exactly, as a plain Jaccard where no shingle repeats.
     """
+    if not left or not right:
+        return []
     (at, own, weight), (to, others, their_weight) = _shingles([x[2] for x in left]), _shingles([x[2] for x in right])
     words, place = np.unique(others, return_inverse=True)
     sizes, total = np.diff(to), np.add.reduceat(their_weight, to[:-1])
@@ -323,25 +345,72 @@ def block_links(left: list[tuple[bytes, bytes, str]], right: list[tuple[bytes, b
     return out
 
 
+def prefixes(own: np.ndarray, share: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
+    """Of a text's shingles and their shares, in the order of rank and shingle, those up to where less than the threshold
+    follows. Texts whose smaller shares sum to the threshold share one of both prefixes: their first common shingle."""
+    order = np.lexsort((own, rank))
+    left = np.cumsum(share[order][::-1])[::-1]
+    return own[order[left >= threshold - 1e-9]]
+
+
+def _possible(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those of the open members (bucket, members, text_key, label) whose text shares a prefix shingle with another component's."""
+    ship(rest.sparkSession)
+    open_ = cut(rest.select("text_key", "label").distinct().join(texts.select("text_key", "text"), "text_key"), "open")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        for whole in batches:
+            for batch in slices(whole, 2, CHUNK):
+                yield batch, *_shingles(batch.column(2).to_pylist())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, shingle, _ in each(batches):
+            own, n = np.unique(shingle, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+    common = open_.select("text_key", "label", "text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
+    common = common.orderBy(F.col("n").desc(), "shingle").limit(FREQUENT).collect()  # at most FREQUENT pairs of numbers
+    frequent = np.array(sorted((r["shingle"], r["n"]) for r in common), np.int64).reshape(-1, 2)
+    known, counts = frequent[:, 0].copy(), frequent[:, 1].copy()
+
+    def cut_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, at, shingle, weight in each(batches):
+            signed = shingle.view(np.int64)
+            place = np.minimum(np.searchsorted(known, signed), max(len(known) - 1, 0))
+            rank = np.where(known[place] == signed, counts[place], 0) if len(known) else np.zeros(len(signed), np.int64)
+            heads = [prefixes(signed[i:j], weight[i:j] / weight[i:j].sum(), rank[i:j], threshold) for i, j in zip(at, at[1:])]
+            of = pa.array(np.repeat(np.arange(batch.num_rows), [len(h) for h in heads]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(heads))], ["text_key", "label", "shingle"])
+
+    heads = cut(open_.select("text_key", "label", "text").mapInArrow(cut_off, "text_key binary, label binary, shingle long"), "prefixes")
+    met = heads.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("shingle")
+    alive = cut(heads.join(small(cut(met, "met")), "shingle", "left_semi").select("text_key").distinct(), "alive")
+    free(open_, heads)
+    return rest.join(small(alive), "text_key", "left_semi")
+
+
 def _across(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of texts that share a bucket, lie in different components and are near.
 
-    rest: (bucket, text_key, label) of open buckets; buckets of the same members count once. Of each bucket, members
+    rest: (bucket, members, text_key, label) of open buckets; buckets of the same members count once. Of each bucket, members
     outside its largest component meet all members, in blocks of text; each two blocks are a row of their own, dealt
     by bucket and block, so that a large bucket is the work of many tasks and its pairs never become rows.
     """
     ship(rest.sparkSession)
+    rest = cut(_possible(rest, texts, threshold), "possible")
     same = [F.bit_xor(F.xxhash64("text_key", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
-    once = rest.groupBy("bucket").agg(*same, F.count(F.lit(1)).alias("n")).groupBy("h1", "h2", "n").agg(F.min("bucket").alias("bucket"))
-    members = cut(rest.select("bucket", "text_key", "label").join(once.select("bucket"), "bucket", "left_semi").join(texts.select("text_key", F.octet_length("text").cast("long").alias("bytes")), "text_key"), "open")
-    by_label = members.groupBy("bucket", "label").agg(F.sum("bytes").alias("bytes"))
-    sizes = by_label.groupBy("bucket").agg(F.sum("bytes").alias("all"), F.max(F.struct("bytes", "label")).alias("main"))
-    sizes = cut(sizes.select("bucket", F.col("main.label").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("main.bytes")) / BLOCK).alias("outer_blocks")), "blocks")
-    known = members.join(sizes, "bucket").join(texts, "text_key")
+    once = rest.groupBy("bucket").agg(*same, F.count(F.lit(1)).alias("n"), F.first("members").alias("members")).groupBy("h1", "h2", "n").agg(F.min(F.struct("bucket", "members")).alias("b"))
+    once = cut(once.select("b.bucket", "b.members"), "once")
+    members = cut(_at_buckets(rest, once, "left_semi").join(texts.select("text_key", "bytes"), "text_key"), "open")
+    by_label = members.groupBy("bucket", "label").agg(F.sum("bytes").alias("bytes"), F.first("members").alias("members"))
+    sizes = by_label.groupBy("bucket").agg(F.sum("bytes").alias("all"), F.max(F.struct("bytes", "label")).alias("main"), F.first("members").alias("members"))
+    share = F.col("main.bytes")
+    sizes = cut(sizes.select("bucket", "members", F.col("main.label").alias("main"), F.greatest(F.ceil(F.col("all") / BLOCK), F.lit(1)).alias("blocks"), F.greatest(F.ceil((F.col("all") - share) / BLOCK), F.lit(1)).alias("outer_blocks")), "blocks")
+    known = _at_buckets(members, sizes).join(texts.select("text_key", "text"), "text_key")
     member, place = F.struct("text_key", "label", "text"), F.xxhash64("text_key", F.lit("block"))
     inner = known.groupBy("bucket", F.pmod(place, "blocks").alias("j")).agg(F.collect_list(member).alias("right"))
-    outer = known.where("label != main").groupBy("bucket", F.pmod(place, "outer_blocks").alias("i")).agg(F.collect_list(member).alias("left"))
-    meet = outer.join(sizes, "bucket").select("bucket", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    outer = known.where("label != main").groupBy("bucket", F.pmod(place, "outer_blocks").alias("i"), "blocks").agg(F.collect_list(member).alias("left"))
+    meet = outer.select("bucket", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def listed(side: pa.Scalar) -> list[tuple[bytes, bytes, str]]:
@@ -361,25 +430,28 @@ def links(docs: DataFrame, distinct: DataFrame, threshold: float = THRESHOLD, fe
     distinct: (text_key, bands), a row for each text.
     """
     populous = _populous(distinct)
-    heads = populous.groupBy("bucket").agg(F.max("rank").alias("head"))
-    star = cut(_pairs(populous.join(heads, "bucket").where("rank != head").select("text_key", F.col("head.text_key").alias("other")), "text_key", "other"), "star")
+    last = cut(populous.groupBy("bucket").agg(F.max("rank").alias("head"), F.first("members").alias("members")), "heads")
+    star = _at_buckets(populous, last).where("rank != head").select(F.col("head.text_key").alias("hub"), F.col("text_key").alias("other"))
+    done = cut(star.distinct(), "star")
     texts = _fetch(docs, populous.select("text_key"))
-    edges = cut(verify(star, texts, threshold), "links")
-    labels = components(edges)
-    done, last, large = star, cut(heads, "heads"), populous.where(F.col("members") > few)
+    edges = cut(verify(done, texts, threshold), "links")
+    labels, large = components(edges), populous.where(F.col("members") > few)
     while True:
         rest = cut(_labelled(large, labels), "open")
-        lower = rest.join(last, "bucket").where("rank < head").groupBy("bucket").agg(F.max(F.struct("rank", "label")).alias("next"))
-        last = cut(lower.select("bucket", F.col("next.rank").alias("head"), F.col("next.label").alias("head_label")), "heads")
-        wanted = _pairs(rest.join(last, "bucket").where("label != head_label").select("text_key", F.col("head.text_key").alias("other")), "text_key", "other")
-        tries = cut(wanted.join(done, ["a", "b"], "left_anti"), "tries")
+        lower = _at_buckets(rest, last).where("rank < head").groupBy("bucket").agg(F.max(F.struct("rank", "label")).alias("next"), F.first("members").alias("members"))
+        heads = cut(lower.select("bucket", F.col("next.rank").alias("head"), F.col("next.label").alias("head_label"), "members"), "heads")
+        wanted = _at_buckets(rest, heads).where("label != head_label").select(F.col("head.text_key").alias("hub"), F.col("text_key").alias("other"))
+        tries = cut(wanted.distinct().join(done, ["hub", "other"], "left_anti").join(done.select(F.col("hub").alias("other"), F.col("other").alias("hub")), ["hub", "other"], "left_anti"), "tries")
         new = cut(verify(tries, texts, threshold), "links")
-        last, done = last.select("bucket", "head"), cut(done.union(tries), "tried")
+        free(last, rest)
+        last, done = heads.select("bucket", "head", "members"), cut(done.union(tries.select("hub", "other")), "tried")
         if new.isEmpty():
             break
-        edges = cut(edges.union(new), "links")
+        edges = cut(edges.union(new).distinct(), "links")
+        free(labels)
         labels = components(edges)
     new = cut(_across(cut(_labelled(populous, labels), "open"), texts, threshold), "links")
+    free(texts, populous, done)
     if new.isEmpty():
         return edges, labels
     edges = cut(edges.union(new).distinct(), "links")
@@ -392,19 +464,17 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: fl
     distinct = cut(signed, "signed")
     _, labels = links(docs, distinct, threshold)
     named = distinct.select("text_key", "first_id", "n").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").where("label is not null or n > 1")
-    named = named.withColumn("label", F.coalesce("label", "text_key"))
-    sums = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    return cut(named.join(sums, "label").select("text_key", "class_id", "class_size"), "classes")
+    named = cut(named.withColumn("label", F.coalesce("label", "text_key")), "named")
+    sums = cut(named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size")), "sums")
+    free(distinct)
+    return cut(attach(named, sums, "label", "class_size").select("text_key", "class_id", "class_size", "n"), "classes")
 
 
 def mark(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """docs with class_id, class_size and kept: of each class the row with the smallest doc_id is kept."""
-    found = small(classes(docs, bands, rows, threshold).withColumnRenamed("text_key", "_key"))
-    joined = docs.join(found, text_key() == F.col("_key"), "left")
-    class_id = F.when(F.col("_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return joined.select(
-        *[docs[c] for c in docs.columns],
-        class_id.alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        class_id.eqNullSafe(F.col("doc_id")).alias("kept"),
-    )
+    own = aside(docs, "doc_id", "text")
+    found = classes(own, bands, rows, threshold).select(F.col("text_key").alias("_key"), F.col("class_id").alias("_class"), F.col("class_size").alias("_size"), F.col("n").alias("_n"))
+    joined = attach(own.withColumn("_key", text_key()), found, "_key", "_n")
+    class_id = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_class"))
+    added = {"class_id": class_id, "class_size": F.coalesce("_size", F.lit(1)).cast("long"), "kept": class_id.eqNullSafe(F.col("doc_id"))}
+    return back(joined.withColumns(added), docs, ("doc_id", "text"), added)

@@ -8,9 +8,10 @@ lowest cost among those with room. The block opens exactly as many sequences as
 sequence has room for a whole piece it is cut and fills the emptiest one: at most one sequence's worth of padding
 is left per block, whatever the lengths are.
 
-Defined results: a null or empty text is one token (the end token). Repeated rows are packed once each. An empty
-table gives no pieces. Other columns are ignored. A retried task gives the same pieces, as all depends only on the
-rows of its partition and their order in it.
+Defined results: a null or empty text is one token (the end token). A text of any length is cut into as many pieces
+as it needs; a block may exceed its size by the last document. Documents of equal cost are taken in the order of their rows, and
+of sequences of equal cost the first. Repeated rows are packed once each. An empty table gives no pieces. Other columns
+are ignored. A retried task gives the same pieces, as all depends only on the rows of its partition and their order in it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from tidemark.llm.common import text_of
 from tidemark.shipping import ship
 
 PIECES = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
+    "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "sequence_cost double"
 )
 #: Letters (lower case too) of Latin scripts, where Python's and the tokenizer's Unicode tables agree.
@@ -50,7 +51,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold a token of its own are left to the tokenizer.
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.cache: dict[str, bytes] = {}
         self.most_words = most_words
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,9 +61,10 @@ class WordEncoder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if _ODD.search(text):
+        lower = text.lower()
+        if _ODD.search(text) or _ODD.search(lower) or any(t in text for t in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found, cache = _WORDS.findall(text.lower()), self.cache
+        found, cache = _WORDS.findall(lower), self.cache
         try:
             return b"".join([cache[w] for w in found])
         except KeyError:
@@ -119,12 +122,13 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 2048, block_tokens: int = 1 << 20) -> DataFrame:
     """A row for each piece, see PIECES; offset and length place it in its sequence."""
     ship(docs.sparkSession)
+    schema = PIECES.format(docs.schema["doc_id"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer).ids, end_id.to_bytes(4, "little")
         first = TaskContext.get().partitionId() << 40
-        held: list[tuple[int | None, bytes]] = []
-        size = 0
+        held: list[tuple[object, bytes]] = []
+        size, kind = 0, pa.int64()
 
         def flush() -> pa.RecordBatch:
             nonlocal first, size
@@ -135,16 +139,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
             first += len(cost)
             held.clear()
             size = 0
-            kinds = [*[pa.int64()] * 7, pa.float64()]
+            kinds = [kind, *[pa.int64()] * 6, pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append((doc, encode(text.as_py()) + end))
+            kind = batch.column(0).type
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                held.append((doc.as_py(), encode(text.as_py()) + end))
                 size += len(held[-1][1]) // 4
                 if size >= block_tokens:
                     yield flush()
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, PIECES)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
