@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codec
 from tidemark.operators import layout, manifest, recovery, resolve, scan
-from tidemark.plans import history
+from tidemark.plans import history, ranges
 from tidemark.shipping import ship
 from tidemark.streaming import state
 
-LOW, HIGH = "000020", "000060"
-TARGETS = ["000000", "0000075", "000150", "zzz"]
+LOW, HIGH = history.key_of(20), history.key_of(60)
+TARGETS = [history.key_of(0), history.key_of(7) + "5", history.key_of(150), "zzz"]
 ROTATE_AT, BLOCK_SIZE, SWEEP, VALUE_LIMIT = 65_536, 4096, 1000, 20_000
 BAD_RECORDS = (7321, 8000)
 LISTING = ["CURRENT", "MANIFEST-000007", "MANIFEST-000003", "000004.log", "000009.log", "000005.sst", "000008.sst", "000011.tmp", "CURRENT.tmp", "junk"]
@@ -29,8 +30,8 @@ def _half(h: DataFrame) -> int:
 
 
 def get_at_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    h = history.events(spark, d)
-    return resolve.live(h, _half(h)).select("k", "seq", "v")
+    half = _half(history.events(spark, d))
+    return resolve.live(history.events(spark, d, at=half), half).select("k", "seq", "v")
 
 
 def latest_state(spark: SparkSession, d: str) -> DataFrame:
@@ -46,11 +47,12 @@ def latest_with_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 def point_get(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.get(history.events(spark, d), "000007").select("k", "seq", "v")
+    key = history.key_of(7)
+    return resolve.get(history.events(spark, d, low=key, high=history.key_of(8)), key).select("k", "seq", "v")
 
 
 def multi_get(spark: SparkSession, d: str) -> DataFrame:
-    keys = history.read(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("k"))
+    keys = history.read(spark, d, "customer").select(history.number_key(F.col("c_custkey")).alias("k"))
     keys = keys.union(spark.createDataFrame([("absent",)], "k string"))
     return resolve.multi_get(keys, history.orders(spark, d)).select("k", "v", F.col("found").cast("long").alias("found"))
 
@@ -64,8 +66,8 @@ def ordered_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def range_scan(spark: SparkSession, d: str) -> DataFrame:
-    h = history.events(spark, d)
-    return scan.key_range(h, LOW, HIGH, _half(h)).select("k", "seq", "v")
+    half = _half(history.events(spark, d))
+    return scan.key_range(history.events(spark, d, low=LOW, high=HIGH, at=half), LOW, HIGH, half).select("k", "seq", "v")
 
 
 def seek_ge(spark: SparkSession, d: str) -> DataFrame:
@@ -89,12 +91,12 @@ def file_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 def file_pruning(spark: SparkSession, d: str) -> DataFrame:
     h = history.turns(spark, d)
-    return layout.candidates(h.select("k").distinct(), layout.file_metadata(h).select("f", "smallest", "largest"), 6).groupBy("k").agg(F.count(F.lit(1)).alias("n_runs"))
+    return layout.candidates(h.select("k").distinct(), layout.file_metadata(h).select("f", "smallest", "largest")).groupBy("k").agg(F.count(F.lit(1)).alias("n_runs"))
 
 
 def level_lookup(spark: SparkSession, d: str) -> DataFrame:
     h = history.turns(spark, d)
-    return layout.candidates(h.select("k").distinct(), layout.file_metadata(h).select("f", "smallest", "largest"), 6)
+    return layout.candidates(h.select("k").distinct(), layout.file_metadata(h).select("f", "smallest", "largest"))
 
 
 def read_amplification(spark: SparkSession, d: str) -> DataFrame:
@@ -115,14 +117,46 @@ def order_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def memtable_rotation(spark: SparkSession, d: str) -> DataFrame:
-    sized = history.events(spark, d).select("seq", (6 + 8 + layout.ENTRY_OVERHEAD + F.length("props")).cast("long").alias("bytes"))
-    return layout.rotations(sized, ROTATE_AT).drop("shard")
+    size = F.octet_length("k") + 8 + layout.ENTRY_OVERHEAD + F.octet_length("props")
+    return layout.rotations(history.events(spark, d).select("shard", "seq", size.cast("long").alias("bytes")), ROTATE_AT)
 
 
 def block_layout(spark: SparkSession, d: str) -> DataFrame:
     return layout.blocks(history.events(spark, d), BLOCK_SIZE)
 
 
+def table_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Each run as a table of blocks: how many blocks it takes, and whether reading gives back every entry."""
+    return layout.tables(history.events(spark, d), BLOCK_SIZE).select("f", "n_blocks", "same")
+
+
+def as_of(spark: SparkSession, d: str) -> DataFrame:
+    """For every customer at each of four snapshots, the order that was theirs then."""
+    h = history.orders(spark, d)
+    top = history.last_seq(h)
+    keys = history.read(spark, d, "customer").select(history.number_key(F.col("c_custkey")).alias("k"))
+    asked = keys.select("k", F.explode(F.array(*[F.lit(top * i // 4).cast("long") for i in range(1, 5)])).alias("at"))
+    return resolve.as_of(asked, h)
+
+
+def internal_key_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Internal keys of all writes, some cut short or with a kind that doesn't exist: which are valid."""
+    h = history.events(spark, d).select("seq", codec.internal_key(F.col("k"), F.col("seq"), F.col("kind")).alias("ikey"))
+    n = F.length("ikey")
+    broken = F.when(F.col("seq") % 5 == 0, F.substring(F.col("ikey"), n - 13, F.lit(14))).when(F.col("seq") % 5 == 1, F.concat(F.substring(F.col("ikey"), F.lit(1), n - 16), F.lit("02"), F.substring(F.col("ikey"), n - 13, F.lit(14))))
+    return h.select("seq", codec.valid_internal_key(F.coalesce(broken, "ikey")).alias("valid"))
+
+
+def manifest_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Live files of edits that were written as a framed manifest of tagged records and read back."""
+    return manifest.live_files(manifest.read_manifest(manifest.write_manifest(manifest.sample_edits(spark))))
+
+
+def replayed_state(spark: SparkSession, d: str) -> DataFrame:
+    """The live rows of a history that is rebuilt from framed logs, one for each run."""
+    return resolve.live(recovery.replay(recovery.write_logs(history.events(spark, d)))).select("k", "seq", "v")
+
+
 def manifest_live_files(spark: SparkSession, d: str) -> DataFrame:
     return manifest.live_files(manifest.sample_edits(spark))
 
@@ -138,7 +172,7 @@ def obsolete_files(spark: SparkSession, d: str) -> DataFrame:
 
 def live_rows(spark: SparkSession, d: str) -> DataFrame:
     files = manifest.live_files(manifest.sample_edits(spark)).select(F.col("number").alias("f"))
-    return history.events(spark, d).join(F.broadcast(files), "f", "left_semi").select("k", "seq", "f")
+    return history.events(spark, d).join(ranges.small(files), "f", "left_semi").select("k", "seq", "f")
 
 
 def torn_tail(spark: SparkSession, d: str) -> DataFrame:
@@ -177,11 +211,7 @@ def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
     """For each run: its own keys that its filter finds (all of them), and absent keys that it can't rule out."""
     ship(spark)
     h = history.events(spark, d).select("f", "k").distinct()
-    filters = h.groupBy("f").applyInPandas(codec.bloom_group, "f long, filter binary")
-    own = h.join(filters, "f").select("f", F.lit(1).alias("own"), codec.bloom_probe_column(F.col("filter"), F.encode("k", "UTF-8")).alias("maybe"))
-    absent = h.withColumn("k", F.concat("k", F.lit("x"))).join(filters, "f").select("f", F.lit(0).alias("own"), codec.bloom_probe_column(F.col("filter"), F.encode("k", "UTF-8")).alias("maybe"))
-    hit = F.col("maybe").cast("long")
-    return own.union(absent).groupBy("f").agg(F.sum(F.col("own")).cast("long").alias("n_keys"), F.sum(hit * F.col("own")).alias("found"), F.sum(hit * (1 - F.col("own"))).alias("false_positives"))
+    return h.groupBy("f").applyInPandas(codec.bloom_group, "f long, n_keys long, found long, false_positives long")
 
 
 def wal_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +231,7 @@ def wal_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def kv_request_outcome(spark: SparkSession, d: str) -> DataFrame:
     """Of each document's id, a request by turns: GET finds ids of live keys, PUT stores the text, DELETE always works."""
-    docs = history.read(spark, d, "documents").select("doc_id", F.octet_length("text").alias("size"), F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("k"))
+    docs = history.read(spark, d, "documents").select("doc_id", F.octet_length("text").alias("size"), history.number_key(F.col("doc_id")).alias("k"))
     live = resolve.live(history.events(spark, d)).select("k", F.lit(1).alias("found"))
     method = F.element_at(F.array(F.lit("GET"), F.lit("PUT"), F.lit("DELETE")), (F.col("doc_id") % 3 + 1).cast("int"))
     asked = docs.withColumn("method", method).join(live, "k", "left")
@@ -213,11 +243,11 @@ def stream_latest_state(spark: SparkSession, d: str) -> DataFrame:
     source = history.read(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     kind = F.when(F.col("event_type") == "error", 0).otherwise(1)
-    changes = stream.select(
-        F.lpad(F.col("user_id").cast("string"), 6, "0").alias("k"), (F.col("event_id") + 1).alias("seq"), kind.alias("kind"), F.when(kind == 1, F.concat("event_type", F.lit(":"), "props")).alias("v")
-    )
+    changes = stream.select(history.number_key(F.col("user_id")).alias("k"), (F.col("event_id") + 1).alias("seq"), kind.alias("kind"), F.when(kind == 1, F.concat("event_type", F.lit(":"), "props")).alias("v"))
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{shared}/stream-{spark.sparkContext.applicationId}-{id(changes)}" if shared else tempfile.mkdtemp(prefix="tidemark-stream-")
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = f"{shared or tempfile.mkdtemp(prefix='tidemark-')}/stream-{uuid.uuid4().hex}"
     state.maintain(changes, folder).awaitTermination()
     return state.latest(spark, folder).where("kind = 1").select("k", "seq", "v")
 
@@ -227,16 +257,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         get_at_snapshot, latest_state, latest_seq, latest_with_kind, point_get, multi_get, snapshot_sweep, ordered_scan, range_scan, seek_ge,
         batch_apply, delete_then_put, file_metadata, file_pruning, level_lookup, read_amplification, space_amplification, prefix_compression,
-        order_violations, memtable_rotation, block_layout, manifest_live_files, manifest_fields, obsolete_files, live_rows, torn_tail,
+        order_violations, memtable_rotation, block_layout, table_roundtrip, as_of, internal_key_validity, manifest_replay, replayed_state, manifest_live_files, manifest_fields, obsolete_files, live_rows, torn_tail,
         recovered_sequence, log_replay_order, internal_key_codec, crc_mask, crc32c_values, bloom_probe, wal_roundtrip, kv_request_outcome,
         stream_latest_state,
     )
 }
 
-_H1 = """h AS (SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS k, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS kind,
- CASE WHEN event_type = 'error' THEN NULL ELSE event_type || ':' || props END AS v, event_id // 1000 + 1 AS f, event_id // 10 AS batch, event_id % 10 AS i, props FROM events)"""
-_H2 = """h AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS k, o_orderkey + 1 AS seq, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS kind, o_orderpriority AS v FROM orders)"""
-_H3 = """h AS (SELECT lpad(CAST(conv_id AS VARCHAR), 6, '0') || ':' || lpad(CAST(turn AS VARCHAR), 3, '0') AS k, conv_id // 16 + 1 AS f FROM conversations)"""
+_H1 = """h AS (SELECT lpad(CAST(user_id AS VARCHAR), 19, '0') AS k, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS kind,
+ CASE WHEN event_type = 'error' THEN NULL ELSE event_type || ':' || props END AS v, event_id // 1000 + 1 AS f, event_id // 10 AS batch, event_id % 10 AS i, props, user_id // 50 AS shard FROM events)"""
+_H2 = """h AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 19, '0') AS k, o_orderkey + 1 AS seq, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS kind, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS v FROM orders)"""
+_H3 = """h AS (SELECT lpad(CAST(conv_id AS VARCHAR), 19, '0') || ':' || lpad(CAST(turn AS VARCHAR), 19, '0') AS k, conv_id // 16 + 1 AS f FROM conversations)"""
+# internal keys in hex, runs in their order, and the bytes an entry has in common with the one before it
+_IKEYS = """o AS (SELECT *, hex(k) || lpad(to_hex(kind), 2, '0') || array_to_string([lpad(to_hex((seq >> (8 * j)) & 255), 2, '0') FOR j IN range(0, 7)], '') AS ikey FROM h)"""
+_COMMON = """c AS (SELECT f, k, seq, ikey, coalesce(strlen(v), 0) AS vb, row_number() OVER w AS pos, lag(ikey) OVER w AS b FROM o WINDOW w AS (PARTITION BY f ORDER BY k, seq DESC)),
+p AS (SELECT f, k, seq, pos, length(ikey) // 2 AS n, vb, CASE WHEN b IS NULL THEN 0 ELSE CAST(coalesce(list_max(list_filter(range(1, least(length(ikey), length(b)) // 2 + 1), lambda j: left(ikey, 2 * j) = left(b, 2 * j))), 0) AS INTEGER) END AS common FROM c)"""
+
+
+def _entry(shared: str) -> str:
+    """Bytes of an entry in SQL; lengths are below 2 ** 14."""
+    sizes = " + ".join(f"CASE WHEN {x} < 128 THEN 1 ELSE 2 END" for x in (shared, f"n - {shared}", "vb"))
+    return f"({sizes} + n - {shared} + vb)"
+
+
 _NEW = "r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS n FROM h)"
 _META = "m AS (SELECT f, min(k) AS lo, max(k) AS hi FROM h GROUP BY f)"
 _EDITS = "e(ord, op, level, number) AS (VALUES (1,'new',0,3),(2,'new',0,5),(3,'del',2,3),(4,'new',1,9),(5,'new',9,11))"
@@ -248,8 +290,8 @@ ORACLES: dict[str, str] = {
     "latest_state": f"WITH {_H1}, {_NEW} SELECT k, seq, v FROM r WHERE n = 1 AND kind = 1",
     "latest_seq": f"WITH {_H1} SELECT k, max(seq) AS seq FROM h GROUP BY k",
     "latest_with_kind": f"WITH {_H1}, {_NEW} SELECT k, seq, CAST(kind AS BIGINT) AS kind, v FROM r WHERE n = 1",
-    "point_get": f"WITH {_H1}, {_NEW} SELECT k, seq, v FROM r WHERE n = 1 AND kind = 1 AND k = '000007'",
-    "multi_get": f"""WITH {_H2}, {_NEW}, q AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS k FROM customer UNION ALL SELECT 'absent')
+    "point_get": f"WITH {_H1}, {_NEW} SELECT k, seq, v FROM r WHERE n = 1 AND kind = 1 AND k = '{history.key_of(7)}'",
+    "multi_get": f"""WITH {_H2}, {_NEW}, q AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 19, '0') AS k FROM customer UNION ALL SELECT 'absent')
 SELECT q.k, s.v, CASE WHEN s.k IS NULL THEN CAST(0 AS BIGINT) ELSE 1 END AS found FROM q LEFT JOIN (SELECT k, v FROM r WHERE n = 1 AND kind = 1) s ON q.k = s.k""",
     "snapshot_sweep": f"""WITH {_H1}, s AS (SELECT DISTINCT CAST(ceil(seq / {SWEEP}.0) AS BIGINT) * {SWEEP} AS snap FROM h),
 r AS (SELECT s.snap, h.*, row_number() OVER (PARTITION BY s.snap, k ORDER BY seq DESC) AS n FROM s JOIN h ON h.seq <= s.snap) SELECT snap, k, seq, v FROM r WHERE n = 1 AND kind = 1""",
@@ -264,17 +306,44 @@ CAST(ceil(greatest(64, 10 * count(DISTINCT k)) / 8.0) + 1 AS BIGINT) AS filter_b
     "level_lookup": f"WITH {_H3}, {_META} SELECT k, f FROM (SELECT DISTINCT k FROM h) JOIN m ON k BETWEEN lo AND hi",
     "read_amplification": f"WITH {_H1}, {_META}, t AS (SELECT k, max(f) AS hit FROM h GROUP BY k) SELECT k, count(*) AS runs_read FROM t JOIN m ON m.f >= hit AND k BETWEEN lo AND hi GROUP BY k",
     "space_amplification": f"WITH {_H1} SELECT k, count(*) AS versions, CAST(sum(1 - kind) AS BIGINT) AS tombstones, count(*) - 1 AS superseded FROM h GROUP BY k",
-    "prefix_compression": f"""WITH {_H1}, p AS (SELECT f, k, seq, row_number() OVER w AS pos, lag(k) OVER w AS b FROM h WINDOW w AS (PARTITION BY f ORDER BY k, seq DESC))
-SELECT f, k, seq, pos, CAST(CASE WHEN (pos - 1) % 16 = 0 THEN 0 ELSE (SELECT coalesce(max(j), 0) FROM range(1, 7) t(j) WHERE left(k, j) = left(b, j)) END AS BIGINT) AS shared FROM p""",
+    "prefix_compression": f"""WITH {_H1}, {_IKEYS}, {_COMMON} SELECT f, k, seq, pos, CAST(CASE WHEN (pos - 1) % 16 = 0 THEN 0 ELSE common END AS BIGINT) AS shared FROM p""",
     "order_violations": f"""WITH {_H1}, p AS (SELECT f, k, seq, lag(k) OVER w AS pk, lag(seq) OVER w AS ps FROM h WINDOW w AS (PARTITION BY f ORDER BY seq))
 SELECT f, k, seq FROM p WHERE pk > k OR (pk = k AND ps <= seq)""",
-    "memtable_rotation": f"""WITH RECURSIVE {_H1}, s AS (SELECT seq, sum(70 + length(props)) OVER (ORDER BY seq) AS upto, 70 + length(props) AS b FROM h),
-g AS (SELECT CAST(1 AS BIGINT) AS generation, min(seq) AS lo, CAST(0 AS HUGEINT) AS before FROM s
- UNION ALL SELECT generation + 1, n.seq + 1, n.upto FROM g, LATERAL (SELECT seq, upto FROM s WHERE s.upto - g.before >= {ROTATE_AT} ORDER BY seq LIMIT 1) n WHERE n.seq < (SELECT max(seq) FROM s)),
-e AS (SELECT *, coalesce(lead(lo) OVER (ORDER BY generation) - 1, (SELECT max(seq) FROM s)) AS hi FROM g)
-SELECT generation, lo, hi, CAST((SELECT upto FROM s WHERE s.seq = e.hi) - before AS BIGINT) AS bytes FROM e""",
+    "memtable_rotation": f"""WITH RECURSIVE {_H1}, s AS (SELECT shard, seq, CAST(sum(19 + 8 + 56 + length(props)) OVER w AS BIGINT) AS upto, lead(seq) OVER w AS next_seq FROM h WINDOW w AS (PARTITION BY shard ORDER BY seq)),
+g AS (SELECT shard, CAST(1 AS BIGINT) AS generation, min(seq) AS lo, CAST(0 AS BIGINT) AS before FROM s GROUP BY shard
+ UNION ALL SELECT g.shard, g.generation + 1, n.next_seq, n.upto FROM g, LATERAL (SELECT s.next_seq, s.upto FROM s WHERE s.shard = g.shard AND s.upto - g.before >= {ROTATE_AT} ORDER BY s.upto LIMIT 1) n WHERE n.next_seq IS NOT NULL),
+e AS (SELECT *, lead(lo) OVER (PARTITION BY shard ORDER BY generation) AS following FROM g)
+SELECT e.shard, generation, lo, max(s.seq) AS hi, max(s.upto) - before AS bytes FROM e JOIN s ON s.shard = e.shard AND s.seq >= e.lo AND (following IS NULL OR s.seq < following) GROUP BY e.shard, generation, lo, before""",
+    "block_layout": f"""WITH RECURSIVE {_H1}, {_IKEYS}, {_COMMON}, z AS (SELECT f, pos, common, n, vb, {_entry("common")} AS joined, {_entry("0")} AS alone FROM p),
+b AS (SELECT f, pos, CAST(1 AS BIGINT) AS block, alone AS size, 1 AS restarts, 1 AS held FROM z WHERE pos = 1
+ UNION ALL SELECT z.f, z.pos, b.block + CASE WHEN b.size + 4 * b.restarts + 4 >= {BLOCK_SIZE} THEN 1 ELSE 0 END,
+  CASE WHEN b.size + 4 * b.restarts + 4 >= {BLOCK_SIZE} THEN z.alone WHEN b.held = 16 THEN b.size + z.alone ELSE b.size + z.joined END,
+  CASE WHEN b.size + 4 * b.restarts + 4 >= {BLOCK_SIZE} THEN 1 WHEN b.held = 16 THEN b.restarts + 1 ELSE b.restarts END,
+  CASE WHEN b.size + 4 * b.restarts + 4 >= {BLOCK_SIZE} OR b.held = 16 THEN 1 ELSE b.held + 1 END
+ FROM b JOIN z ON z.f = b.f AND z.pos = b.pos + 1)
+SELECT f, pos, block FROM b""",
+    "as_of": f"""WITH {_H2}, q AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 19, '0') AS k, (SELECT max(seq) FROM h) * i // 4 AS "at" FROM customer, range(1, 5) t(i)),
+a AS (SELECT q.k, q."at", h.seq, h.kind, h.v FROM q ASOF LEFT JOIN h ON q.k = h.k AND q."at" >= h.seq)
+SELECT k, "at", CASE WHEN kind = 1 THEN seq END AS seq, CASE WHEN kind = 1 THEN v END AS v, CAST(coalesce(kind, 0) AS BIGINT) AS found FROM a""",
+    "internal_key_validity": "SELECT event_id + 1 AS seq, (event_id + 1) % 5 NOT IN (0, 1) AS valid FROM events",
+    "manifest_replay": f"WITH {_LIVE} SELECT CAST(level AS BIGINT) AS level, CAST(number AS BIGINT) AS number FROM l",
+    "replayed_state": f"WITH {_H1}, {_NEW} SELECT k, seq, v FROM r WHERE n = 1 AND kind = 1",
+    "crc32c_values": f"""WITH {_H1}, t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda acc, i: CASE WHEN acc & 1 = 1 THEN xor(acc >> 1, 2197175160) ELSE acc >> 1 END, n)) AS t)
+SELECT seq, xor(list_reduce(list_transform(string_split(concat_ws(':', k, v), ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda acc, b: xor(t.t[(xor(acc, b) & 255) + 1], acc >> 8), 4294967295), 4294967295) AS crc FROM h, t""",
+    "bloom_probe": f"""WITH {_H1}, d AS (SELECT DISTINCT f, k FROM h), s AS (SELECT f, greatest(64, 10 * count(*)) AS least FROM d GROUP BY f),
+p AS (SELECT d.f, k, own, (least + 7) // 8 * 8 AS bits, CASE WHEN own THEN k ELSE k || 'x' END AS key FROM d JOIN s ON s.f = d.f, (VALUES (true), (false)) o(own)),
+w AS (SELECT *, list_transform(string_split(key, ''), lambda c: CAST(unicode(c) AS HUGEINT)) AS b, length(key) AS n FROM p),
+x AS (SELECT *, list_reduce(list_transform(range(0, n // 4), lambda j: b[4 * j + 1] + 256 * b[4 * j + 2] + 65536 * b[4 * j + 3] + 16777216 * b[4 * j + 4]),
+  lambda h, word: xor(((h + word) * 3332679571) % 4294967296, (((h + word) * 3332679571) % 4294967296) // 65536), xor(CAST(3164544308 AS HUGEINT), (n * CAST(3332679571 AS HUGEINT)) % 4294967296)) AS h FROM w),
+y AS (SELECT *, CASE WHEN n % 4 = 0 THEN h ELSE ((h + CAST(list_sum(list_transform(range(0, n % 4), lambda j: b[n // 4 * 4 + j + 1] * [1, 256, 65536][j + 1])) AS HUGEINT)) * 3332679571) % 4294967296 END AS g FROM x),
+u AS (SELECT *, CASE WHEN n % 4 = 0 THEN g ELSE xor(g, g // 16777216) END AS e FROM y),
+q AS (SELECT f, key, own, list_transform(range(0, 6), lambda i: CAST((e + i * (e // 131072 + (e * 32768) % 4294967296)) % 4294967296 % bits AS BIGINT)) AS places FROM u),
+m AS (SELECT DISTINCT f, unnest(places) AS place FROM q WHERE own), a AS (SELECT f, own, key, unnest(list_distinct(places)) AS place, len(list_distinct(places)) AS n FROM q),
+z AS (SELECT a.f, own, key, n, count(m.place) AS hit FROM a LEFT JOIN m ON m.f = a.f AND m.place = a.place GROUP BY a.f, own, key, n)
+SELECT f, count(*) FILTER (own) AS n_keys, count(*) FILTER (own AND hit = n) AS found, count(*) FILTER (NOT own AND hit = n) AS false_positives FROM z GROUP BY f""",
     "manifest_live_files": f"WITH {_LIVE} SELECT CAST(level AS BIGINT) AS level, CAST(number AS BIGINT) AS number FROM l",
-    "manifest_fields": "SELECT CAST(7 AS BIGINT) AS log_number, CAST(12 AS BIGINT) AS next_file_number, CAST(340 AS BIGINT) AS last_sequence",
+    "manifest_fields": f"""WITH e(ord, log_number, next_file_number, last_sequence) AS (VALUES {', '.join('(' + ', '.join('NULL' if x is None else str(x) for x in row) + ')' for row in FIELDS)})
+SELECT {', '.join(f'CAST(arg_max({c}, ord) FILTER ({c} IS NOT NULL) AS BIGINT) AS {c}' for c in ('log_number', 'next_file_number', 'last_sequence'))} FROM e""",
     "obsolete_files": """WITH n(name) AS (VALUES ('CURRENT'),('MANIFEST-000007'),('MANIFEST-000003'),('000004.log'),('000009.log'),('000005.sst'),('000008.sst'),('000011.tmp'),('CURRENT.tmp'),('junk')),
 c AS (SELECT name, CASE WHEN regexp_matches(name, '^MANIFEST-[0-9]+$') THEN 'manifest' WHEN regexp_matches(name, '^[0-9]+\\.log$') THEN 'log' WHEN regexp_matches(name, '^[0-9]+\\.sst$') THEN 'table' WHEN regexp_matches(name, '^[0-9]+\\.tmp$') THEN 'temp' END AS kind FROM n),
 k AS (SELECT name, kind, CAST(regexp_extract(name, '[0-9]+') AS BIGINT) AS number FROM c WHERE kind IS NOT NULL)
@@ -288,6 +357,6 @@ SELECT * FROM k WHERE NOT ((kind = 'log' AND number >= 9) OR (kind = 'table' AND
 SELECT event_id, crc, ((crc >> 15) | ((crc & 32767) << 17)) + 2726488792 - CASE WHEN ((crc >> 15) | ((crc & 32767) << 17)) + 2726488792 >= 4294967296 THEN 4294967296 ELSE 0 END AS masked, crc AS unmasked FROM c""",
     "kv_request_outcome": f"""WITH {_H1}, {_NEW}, l AS (SELECT k FROM r WHERE n = 1 AND kind = 1)
 SELECT doc_id, ['GET', 'PUT', 'DELETE'][doc_id % 3 + 1] AS method, CAST(CASE doc_id % 3 WHEN 0 THEN CASE WHEN l.k IS NOT NULL THEN 200 ELSE 404 END WHEN 1 THEN CASE WHEN strlen(text) > {VALUE_LIMIT} THEN 413 ELSE 204 END ELSE 204 END AS BIGINT) AS status
-FROM documents LEFT JOIN l ON l.k = lpad(CAST(doc_id AS VARCHAR), 6, '0')""",
+FROM documents LEFT JOIN l ON l.k = lpad(CAST(doc_id AS VARCHAR), 19, '0')""",
     "stream_latest_state": f"WITH {_H1}, {_NEW} SELECT k, seq, v FROM r WHERE n = 1 AND kind = 1",
 }

@@ -5,7 +5,7 @@ The column versions work on Arrow batches; masking and internal keys are plain e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -225,10 +225,16 @@ def decode_batch(data: bytes) -> tuple[int, list[tuple[int, bytes, bytes | None]
 
 
 def internal_key(key: Column, seq: Column, kind: Column) -> Column:
-    """Hex of key, kind byte and seq as 7 bytes, little-endian."""
+    """Hex of key, kind byte and seq as 7 bytes, little-endian; null where seq or kind is out of bounds."""
     big = F.lpad(F.hex(seq), 14, "0")
     little = F.concat(*[F.substring(big, 13 - 2 * i, 2) for i in range(7)])
-    return F.concat(F.hex(F.encode(key, "UTF-8")), F.lpad(F.hex(kind), 2, "0"), little)
+    return F.when(seq.between(0, (1 << 56) - 1) & kind.between(0, 1), F.concat(F.hex(F.encode(key, "UTF-8")), F.lpad(F.hex(kind), 2, "0"), little))
+
+
+def valid_internal_key(ikey: Column) -> Column:
+    """Whether a hex string is long enough for an internal key and its kind is known; null is no key."""
+    n = F.length(ikey)
+    return F.coalesce((n >= 16) & (n % 2 == 0) & F.substring(ikey, n - 15, F.lit(2)).isin("00", "01"), F.lit(False))
 
 
 def split_internal_key(ikey: Column) -> tuple[Column, Column, Column]:
@@ -239,16 +245,82 @@ def split_internal_key(ikey: Column) -> tuple[Column, Column, Column]:
     return F.substring(ikey, F.lit(1), n - 16), F.conv(big, 16, 10).cast("long"), F.conv(F.substring(tail, 1, 2), 16, 10).cast("int")
 
 
-def _crc_batch(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else crc32c(bytes(b)))
+def _ragged(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, where each string starts, its length, and the order from the longest to the shortest."""
+    lengths = np.array([len(b) for b in data], np.int64)
+    return np.frombuffer(b"".join(data) + b"\0" * 4, np.uint8), np.cumsum(lengths) - lengths, lengths, np.argsort(-lengths, kind="stable")
+
+
+_CRC_ARRAY = np.array(_CRC, np.uint32)
+
+
+def crc32c_many(data: list[bytes]) -> np.ndarray:
+    """crc32c of each string, one byte place of all of them at a time."""
+    flat, start, lengths, order = _ragged(data)
+    crc, sized = np.full(len(data), U32, np.uint32), lengths[order]
+    for place in range(int(lengths.max(initial=0))):
+        at = order[: np.searchsorted(-sized, -place, side="left")]
+        crc[at] = _CRC_ARRAY[(crc[at] ^ flat[start[at] + place]) & np.uint32(255)] ^ (crc[at] >> np.uint32(8))
+    return crc ^ np.uint32(U32)
+
+
+def bloom_hash_many(data: list[bytes]) -> np.ndarray:
+    """bloom_hash of each string, one word of all of them at a time."""
+    flat, start, lengths, order = _ragged(data)
+    flat, mul = flat.astype(np.uint32), np.uint32(HASH_MUL)
+    h = np.uint32(HASH_SEED) ^ (lengths.astype(np.uint32) * mul)
+    whole = lengths // 4
+    sized = whole[order]
+    for place in range(int(whole.max(initial=0))):
+        at = order[: np.searchsorted(-sized, -place, side="left")]
+        byte = start[at] + 4 * place
+        word = flat[byte] | flat[byte + 1] << np.uint32(8) | flat[byte + 2] << np.uint32(16) | flat[byte + 3] << np.uint32(24)
+        h[at] = (h[at] + word) * mul
+        h[at] ^= h[at] >> np.uint32(16)
+    at = np.flatnonzero(lengths % 4)
+    rest = np.zeros(len(at), np.uint32)
+    for k in range(3):
+        rest |= np.where(k < lengths[at] % 4, flat[start[at] + 4 * whole[at] + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    h[at] = (h[at] + rest) * mul
+    h[at] ^= h[at] >> np.uint32(24)
+    return h
 
 
-def _hash_batch(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else bloom_hash(bytes(b)))
+def bloom_may_contain_many(filter_: bytes, keys: list[bytes]) -> np.ndarray:
+    """bloom_may_contain of each key, against one filter."""
+    if len(filter_) < 2 or filter_[-1] > MOST_PROBES:
+        return np.ones(len(keys), bool)
+    bits = np.unpackbits(np.frombuffer(filter_[:-1], np.uint8), bitorder="little")
+    h = bloom_hash_many(keys)
+    step, out = h >> np.uint32(17) | h << np.uint32(15), np.ones(len(keys), bool)
+    for i in range(filter_[-1]):
+        out &= bits[(h + np.uint32(i) * step) % np.uint32(len(bits))] == 1
+    return out
 
 
-def _probe_batch(filter_: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series([bloom_may_contain(bytes(f), bytes(k)) for f, k in zip(filter_, key, strict=True)])
+def bloom_build_many(keys: list[bytes]) -> bytes:
+    """bloom_build, all keys at once."""
+    size = (max(LEAST_BITS, BITS_PER_KEY * len(keys)) + 7) // 8
+    bits, h = np.zeros(size * 8, np.uint8), bloom_hash_many(keys)
+    step = h >> np.uint32(17) | h << np.uint32(15)
+    for i in range(PROBES):
+        bits[(h + np.uint32(i) * step) % np.uint32(size * 8)] = 1
+    return np.packbits(bits, bitorder="little").tobytes() + bytes([PROBES])
+
+
+def _over(data: pd.Series, many: Callable[[list[bytes]], np.ndarray]) -> pd.Series:
+    some = data.notna().to_numpy()
+    out = pd.Series(pd.array([None] * len(data), "Int64"))
+    out[some] = many([bytes(b) for b in data[some]]).astype(np.int64)
+    return out
+
+
+def _crc_batch(data: pd.Series) -> pd.Series:
+    return _over(data, crc32c_many)
+
+
+def _hash_batch(data: pd.Series) -> pd.Series:
+    return _over(data, bloom_hash_many)
 
 
 def crc32c_column(data: Column) -> Column:
@@ -259,10 +331,10 @@ def bloom_hash_column(data: Column) -> Column:
     return F.pandas_udf(_hash_batch, "long")(data)
 
 
-def bloom_probe_column(filter_: Column, key: Column) -> Column:
-    return F.pandas_udf(_probe_batch, "boolean")(filter_, key)
-
-
 def bloom_group(rows: pd.DataFrame) -> pd.DataFrame:
-    """For groupBy(f).applyInPandas: one filter for each run."""
-    return pd.DataFrame({"f": [rows["f"].iloc[0]], "filter": [bloom_build([k.encode() for k in sorted(set(rows["k"]))])]})
+    """For groupBy(f).applyInPandas over distinct (f, k): the run's filter is made and probed once for all its keys, and for
+    as many absent ones (each key with an x behind it)."""
+    keys = [k.encode() for k in sorted(rows["k"])]
+    filter_ = bloom_build_many(keys)
+    own, absent = bloom_may_contain_many(filter_, keys), bloom_may_contain_many(filter_, [k + b"x" for k in keys])
+    return pd.DataFrame({"f": [rows["f"].iloc[0]], "n_keys": [len(keys)], "found": [int(own.sum())], "false_positives": [int(absent.sum())]})

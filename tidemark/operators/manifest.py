@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import codec, edits as tagged
+from tidemark.shipping import ship
+
 LEVELS = 7
 #: Edits are (ord, op, level, number); within one ord deletions come before additions.
 EDIT_SCHEMA = "ord long, op string, level int, number long"
@@ -46,3 +52,34 @@ def obsolete(listing: DataFrame, live: DataFrame) -> DataFrame:
 def sample_edits(spark: SparkSession) -> DataFrame:
     rows = [(1, "new", 0, 3), (2, "new", 0, 5), (3, "del", 2, 3), (4, "new", 1, 9), (5, "new", 9, 11)]
     return spark.createDataFrame(rows, EDIT_SCHEMA)
+
+
+def write_manifest(edits: DataFrame) -> DataFrame:
+    """(content) of one framed manifest of edits (EDIT_SCHEMA): a record for each ord, deletions first. A manifest is one file, so one
+    task writes it."""
+    ship(edits.sparkSession)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        records = []
+        for _, own in rows.sort_values("ord", kind="stable").groupby("ord", sort=True):
+            gone = [(int(lv), int(n)) for op, lv, n in zip(own["op"], own["level"], own["number"], strict=True) if op == "del"]
+            new = [(int(lv), int(n), 0, b"", b"") for op, lv, n in zip(own["op"], own["level"], own["number"], strict=True) if op == "new"]
+            records.append(tagged.Edit(deleted=gone, new=new).encode())
+        return pd.DataFrame({"content": [codec.frame(records)]})
+
+    return edits.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, "content binary")
+
+
+def read_manifest(manifest: DataFrame) -> DataFrame:
+    """Edits (EDIT_SCHEMA) of a framed manifest (content); a damaged one is an error."""
+    ship(manifest.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for content in batch["content"]:
+                for i, e in enumerate(tagged.decode_manifest(bytes(content)), 1):
+                    rows += [(i, "del", lv, n) for lv, n in e.deleted] + [(i, "new", lv, n) for lv, n, *_ in e.new]
+            yield pd.DataFrame(rows, columns=["ord", "op", "level", "number"])
+
+    return manifest.select("content").mapInPandas(run, EDIT_SCHEMA)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.resolve import live
+from tidemark.plans.ranges import bounds, range_of
 
 def ordered(history: DataFrame) -> DataFrame:
     """The whole history in internal-key order: a range exchange and local sorts."""
@@ -16,20 +17,26 @@ def positions(history: DataFrame) -> DataFrame:
     """history with ``pos``, each row's place in internal-key order, from 1.
 
     Places within a key come from a window on the key, places of keys from running sums of counts: first inside key
-    ranges, then over the ranges. Ranges are leading characters of the key, so the last sum is over few rows.
+    ranges, then over the ranges. Ranges are cut at quantiles of the keys, so none is hot because keys begin alike, and the
+    last sum is over few rows.
     """
-    counts = history.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", F.substring("k", 1, 4))
+    counts = history.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_range", range_of(F.col("k"), bounds(history, "k")))
     ranges = counts.groupBy("_range").agg(F.sum("_n").alias("_rn"))
     before = ranges.select("_range", (F.sum("_rn").over(Window.orderBy("_range")) - F.col("_rn")).alias("_before"))
     inside = F.sum("_n").over(Window.partitionBy("_range").orderBy("k")) - F.col("_n")
-    offsets = counts.withColumn("_inside", inside).join(before, "_range").select("k", (F.col("_before") + F.col("_inside")).alias("_offset"))
+    offsets = counts.withColumn("_inside", inside).join(F.broadcast(before), "_range").select("k", (F.col("_before") + F.col("_inside")).alias("_offset"))
     own = F.row_number().over(Window.partitionBy("k").orderBy(F.col("seq").desc(), F.col("kind").desc()))
     return history.withColumn("_own", own).join(offsets, "k").withColumn("pos", (F.col("_offset") + F.col("_own")).cast("long")).drop("_own", "_offset")
 
 
-def key_range(history: DataFrame, low: str, high: str, at: int | None = None) -> DataFrame:
-    """Live rows with low <= k < high; both bounds reach the scan."""
-    return live(history.where((F.col("k") >= low) & (F.col("k") < high)), at)
+def key_range(history: DataFrame, low: str | None = None, high: str | None = None, at: int | None = None) -> DataFrame:
+    """Live rows with low <= k < high; a bound that is None is open."""
+    if low is not None:
+        history = history.where(F.col("k") >= low)
+    if high is not None:
+        history = history.where(F.col("k") < high)
+    return live(history, at)
 
 
 def seek_ge(keys: DataFrame, targets: list[str]) -> DataFrame:

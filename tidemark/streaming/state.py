@@ -28,4 +28,7 @@ def latest(spark: SparkSession, folder: str) -> DataFrame:
     """(k, seq, kind, v) of every key that the stream has seen, tombstones included."""
     from tidemark.operators.resolve import newest
 
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):  # no batch has run yet
+        return spark.createDataFrame([], STATE)
     return newest(spark.read.schema(STATE).parquet(f"{folder}/state/*")).select("k", "seq", "kind", "v")
