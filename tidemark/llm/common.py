@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -43,16 +43,21 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: later plans start there, and a lost
     executor costs no recomputation. Files go with free, or when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, seen = f"{shared_folder(spark)}/tidemark-{label}-{uuid.uuid4().hex}", Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     if not _written:
         atexit.register(_remove)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
+    out._cut_path, out._cut_rows = path, int(seen.get["rows"])
     return out
 
 
+def is_empty(df: DataFrame) -> bool:
+    """Whether a cut table has no rows."""
+    return df._cut_rows == 0
+
+
 def free(*tables: DataFrame) -> None:
     """Remove the files of cut tables that no later plan reads."""
     for df in tables:
@@ -76,8 +81,10 @@ def _remove() -> None:
 
 
 def is_small(df: DataFrame, rows: int | None = None) -> bool:
-    """Whether df has at most so many rows (BROADCAST_ROWS); it is counted, so pass a cut table."""
+    """Whether df has at most so many rows (BROADCAST_ROWS). A cut table was counted as it was written; others are counted."""
     rows = BROADCAST_ROWS if rows is None else rows
+    if hasattr(df, "_cut_rows"):
+        return df._cut_rows <= rows
     return df.limit(rows + 1).count() <= rows
 
 
@@ -86,6 +93,11 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def quoted(column: str) -> Column:
+    """The column of exactly that name."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def attach(rows: DataFrame, side: DataFrame, key: str, weight: str) -> DataFrame:
     """rows left-joined with side (a cut table, a row for each key), whose columns must be new but for key.
 
@@ -97,13 +109,14 @@ def attach(rows: DataFrame, side: DataFrame, key: str, weight: str) -> DataFrame
         return rows.join(F.broadcast(side), key, "left")
     heavy = cut(side.orderBy(F.col(weight).desc(), key).limit(max(1, BROADCAST_ROWS // 10)), "heavy")
     columns = [c for c in side.columns if c != key]
-    first = rows.join(F.broadcast(heavy.select(key, F.struct(*columns).alias("_heavy"))), key, "left")
-    done = F.col("_heavy").isNotNull() | F.col(key).isNull()
-    first = first.withColumn("_deal", F.when(done, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if _hashable(rows, c)]))).withColumn("_open", F.when(~done, F.col(key)))
-    other = side.join(F.broadcast(heavy.select(key)), key, "left_anti").select(F.lit(None).cast("long").alias("_no"), F.col(key).alias("_key"), F.struct(*columns).alias("_light"))
-    joined = first.join(other, F.col("_deal").eqNullSafe(F.col("_no")) & F.col("_open").eqNullSafe(F.col("_key")), "left")
-    found = F.coalesce("_heavy", "_light")
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *[found[c].alias(c) for c in columns])
+    first = rows.join(F.broadcast(heavy.select(key, F.struct(*columns).alias("_at_heavy"))), key, "left")
+    done = F.col("_at_heavy").isNotNull() | F.col(key).isNull()
+    random = F.xxhash64(*[quoted(c) for c in rows.columns if _hashable(rows, c)])
+    first = first.withColumns({"_at_deal": F.when(done, random), "_at_open": F.when(~done, F.col(key))})
+    light = side.join(F.broadcast(heavy.select(key)), key, "left_anti").select(F.lit(None).cast("long").alias("_at_no"), F.col(key).alias("_at_key"), F.struct(*columns).alias("_at_light"))
+    joined = first.join(light, F.col("_at_deal").eqNullSafe(F.col("_at_no")) & F.col("_at_open").eqNullSafe(F.col("_at_key")), "left")
+    found = F.coalesce("_at_heavy", "_at_light")
+    return joined.select(*[quoted(c) for c in rows.columns], *[found[c].alias(c) for c in columns])
 
 
 def _hashable(rows: DataFrame, column: str) -> bool:
@@ -119,7 +132,7 @@ def back(found: DataFrame, docs: DataFrame, used: tuple[str, ...], added: Iterab
     """What an operator made of aside(docs, *used): columns of docs under their own names, then the added ones. A column
     of docs that is named as an added one gives way to it."""
     added = list(added)
-    own = [F.col(f"`{c}`" if c in used else f"_aside_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in added]
+    own = [quoted(c if c in used else f"_aside_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in added]
     return found.select(*own, *added)
 
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import aside, attach, back, cut, free, is_small, slices, small, text_of
+from tidemark.llm.common import aside, attach, back, cut, free, is_empty, is_small, slices, small, text_of
 from tidemark.shipping import ship
 
 SHINGLE = 5
@@ -57,9 +57,11 @@ BLOCK = 1 << 19
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
 #: Members of a bucket, or links of a node, beyond which it is dealt out.
-HOT = 100_000
+HOT = 1_000
+#: Rows of what buckets look up that are broadcast.
+SIDE = 200_000
 #: So many of the most frequent shingles come last in prefixes, in order of their counts.
-FREQUENT = 100_000
+FREQUENT = 20_000
 
 _MUL1, _MUL2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -222,25 +224,27 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
-    """(node, label) for all nodes of the edges (a, b): the label is the component's smallest node.
+    """(node, label), a cut table of all nodes of the edges (a, b): the label is the component's smallest node.
 
     Links of nodes of more than hot links are dealt to so many parts, and those nodes' labels go to each part.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both, "edges")
-    hubs = cut(both.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("b", F.ceil(F.col("n") / hot).alias("parts")), "hubs")
-    some = not hubs.isEmpty()
-    if some:
-        parts = F.coalesce("parts", F.lit(1))
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    hubs, parts = None, F.coalesce("parts", F.lit(1))
+    if both._cut_rows > hot:
+        hubs = cut(both.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("b", F.ceil(F.col("n") / hot).alias("parts")), "hubs")
+        hubs = None if is_empty(hubs) else hubs
+    if hubs:
         dealt = cut(both.join(small(hubs), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part")), "dealt")
         free(both)
         both = dealt
 
     def at_neighbours(labels: DataFrame) -> DataFrame:
         own = labels.select(F.col("node").alias("b"), "label")
-        if not some:
+        if is_small(labels):
+            return both.join(F.broadcast(own), "b")
+        if not hubs:
             return both.join(own, "b")
-        own = own.join(small(hubs), "b", "left").select("b", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        own = own.join(small(hubs), "b", "left").select("b", "label", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
         return both.join(own, ["b", "part"])
 
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")), "labels")
@@ -248,15 +252,41 @@ def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
         near = at_neighbours(labels).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        # many nodes share a label: it is looked up once for each
-        wider = step.select("label").distinct().join(jump, "label")
-        new = cut(step.join(small(cut(wider, "jump")), "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), "labels")
+        if is_small(labels):
+            jump = F.broadcast(jump)
+        else:  # many nodes share a label: it is looked up once for each, and hot ones don't come together
+            jump = small(cut(step.select("label").distinct().join(jump, "label"), "jump"))
+        new = step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old")
+        new = cut(new.withColumn("fell", F.col("label") < F.col("old")), "labels")
         free(labels)
-        labels = new.select("node", "label")
-        labels._cut_path = new._cut_path
-        if new.where("label < old").isEmpty():
-            free(both, hubs)
-            return labels
+        if new.where("fell").isEmpty():
+            free(both)
+            return renamed(new.select("node", "label"), new)
+        labels = renamed(new.select("node", "label"), new)
+
+
+def renamed(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, with all rows of a cut table, known as that table."""
+    df._cut_path, df._cut_rows = table._cut_path, table._cut_rows
+    return df
+
+
+def merged(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """labels (node, label) after further links new (a, b), both cut tables: only components that new joins are looked at."""
+    nodes = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = cut(nodes.join(labels, "node", "left").select("node", F.col("label").alias("had"), F.coalesce("label", "node").alias("label")), "ends")
+
+    def end(side: str) -> DataFrame:
+        own = ends.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+        return F.broadcast(own) if is_small(ends) else own
+
+    joined = new.join(end("a"), "a").join(end("b"), "b").where("a_label != b_label").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
+    over = components(cut(joined, "joined"))
+    fresh = ends.where("had is null").select("node", "label")
+    moved = labels.unionByName(fresh).join(small(renamed(over.select(F.col("node").alias("label"), F.col("label").alias("to")), over)), "label", "left")
+    found = cut(moved.select("node", F.coalesce("to", "label").alias("label")), "labels")
+    free(ends, over, labels)
+    return found
 
 
 def _fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -270,7 +300,7 @@ def _fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def _at_buckets(rows: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
     """rows (bucket, members, ...) joined with side (a cut table; bucket, members, ...) on the bucket. Broadcast if side is
     small, else for buckets of more than HOT members, of which there are few: all members divided by HOT at most."""
-    if is_small(side):
+    if is_small(side, SIDE):
         return rows.join(F.broadcast(side.drop("members")), "bucket", how)
     few = cut(side.where(F.col("members") > HOT).drop("members"), "hot")
     hot = rows.where(F.col("members") > HOT).join(small(few), "bucket", how)
@@ -281,7 +311,7 @@ def _populous(distinct: DataFrame) -> DataFrame:
     """(bucket, members, text_key, rank) for buckets with two texts or more; rank orders texts by their company."""
     buckets = distinct.select(F.explode("bands").alias("bucket"), "text_key")
     shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
-    if is_small(shared):
+    if is_small(shared, SIDE):
         of_texts = buckets.join(F.broadcast(shared), "bucket")
     else:
         hot = shared.where(F.col("members") > HOT)
@@ -438,24 +468,21 @@ def links(docs: DataFrame, distinct: DataFrame, threshold: float = THRESHOLD, fe
     labels, large = components(edges), populous.where(F.col("members") > few)
     while True:
         rest = cut(_labelled(large, labels), "open")
+        if is_empty(rest):
+            break
         lower = _at_buckets(rest, last).where("rank < head").groupBy("bucket").agg(F.max(F.struct("rank", "label")).alias("next"), F.first("members").alias("members"))
         heads = cut(lower.select("bucket", F.col("next.rank").alias("head"), F.col("next.label").alias("head_label"), "members"), "heads")
         wanted = _at_buckets(rest, heads).where("label != head_label").select(F.col("head.text_key").alias("hub"), F.col("text_key").alias("other"))
         tries = cut(wanted.distinct().join(done, ["hub", "other"], "left_anti").join(done.select(F.col("hub").alias("other"), F.col("other").alias("hub")), ["hub", "other"], "left_anti"), "tries")
         new = cut(verify(tries, texts, threshold), "links")
         free(last, rest)
-        last, done = heads.select("bucket", "head", "members"), cut(done.union(tries.select("hub", "other")), "tried")
-        if new.isEmpty():
+        last, done = heads, cut(done.union(tries.select("hub", "other")), "tried")
+        if is_empty(new):
             break
-        edges = cut(edges.union(new).distinct(), "links")
-        free(labels)
-        labels = components(edges)
-    new = cut(_across(cut(_labelled(populous, labels), "open"), texts, threshold), "links")
+        edges, labels = cut(edges.union(new), "links"), merged(labels, new)
+    new = cut(_across(cut(_labelled(populous, labels), "open"), texts, threshold).distinct(), "links")
     free(texts, populous, done)
-    if new.isEmpty():
-        return edges, labels
-    edges = cut(edges.union(new).distinct(), "links")
-    return edges, components(edges)
+    return (edges, labels) if is_empty(new) else (cut(edges.union(new).distinct(), "links"), merged(labels, new))
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:

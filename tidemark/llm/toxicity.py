@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, free, slices, text_of, training_sample
+from tidemark.llm.common import cut, free, quoted, slices, text_of, training_sample
 from tidemark.shipping import ship
 
 #: Terms for groups of people, by kind; a term is swapped for another of its kind.
@@ -255,7 +255,7 @@ def fit(
 def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
     """docs with a score column, in one pass; every other column stays as it is."""
     ship(docs.sparkSession)
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != column or c == "text"])
+    kept = docs.select(*[quoted(c) for c in docs.columns if c != column or c == "text"])
     at, names = kept.columns.index("text"), [f"c{i}" for i in range(len(kept.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
