@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns the columns of docs (the last one
 returns packed pieces). Columns that a stage doesn't use pass through it whatever their names are. A stage on an
-empty table returns an empty one; null texts count as empty.
+empty table returns an empty one; null texts count as empty, and texts of any length are worked on whole. Repeated rows: toxicity
+and exact_dedup keep or drop them together, near_dedup too, mixing shares out the copies that were decided for them, packing
+packs each. Ties are settled as the operators say.
 """
 
 from __future__ import annotations
@@ -10,40 +12,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, mixing, neardup, packing, toxicity
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import aside, back, cut, free, table
 from tidemark.llm.registry import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 USED = ("doc_id", "text", "source")
 
 
-def _aside(docs: DataFrame) -> DataFrame:
-    """docs with the columns that operators don't use renamed, so that none clashes with theirs."""
-    return docs.toDF(*[c if c in USED else f"_aside_{i}" for i, c in enumerate(docs.columns)])
-
-
 def _back(found: DataFrame, docs: DataFrame) -> DataFrame:
-    return found.select(*_aside(docs).columns).toDF(*docs.columns)
+    return back(found, docs, USED)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _back(toxicity.score(_aside(docs), model, "_score").where("_score < 0.5"), docs)
+    return _back(toxicity.score(aside(docs, *USED), model, "_score").where("_score < 0.5"), docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _back(exact_dedup.mark(_aside(docs)).where("kept"), docs)
+    return _back(exact_dedup.mark(aside(docs, *USED)).where("kept"), docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _back(neardup.mark(_aside(docs)).where("kept"), docs)
+    return _back(neardup.mark(aside(docs, *USED)).where("kept"), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _back(mixing.mixed_documents(_aside(docs)), docs)
+    return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of sf_dir; each one's result is written and read again for the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        free(before)
     return STAGES[-1][1](spark, docs, sf_dir)
