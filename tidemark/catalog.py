@@ -285,6 +285,15 @@ _EDITS = "e(ord, op, level, number) AS (VALUES (1,'new',0,3),(2,'new',0,5),(3,'d
 _LIVE = f"""{_EDITS}, x AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY ord DESC, op DESC) AS n FROM e WHERE op = 'del' OR level BETWEEN 0 AND 6),
 l AS (SELECT level, number FROM x WHERE n = 1 AND op = 'new')"""
 
+_BLOCKS = f"""WITH RECURSIVE {_H1}, {_IKEYS}, {_COMMON}, z AS (SELECT f, pos, common, n, vb, {_entry("common")} AS joined, {_entry("0")} AS alone FROM p),
+b AS (SELECT f, pos, CAST(1 AS BIGINT) AS block, alone AS size, 1 AS restarts, 1 AS held FROM z WHERE pos = 1
+ UNION ALL SELECT z.f, z.pos, b.block + CASE WHEN b.size + 4 * b.restarts + 4 >= {BLOCK_SIZE} THEN 1 ELSE 0 END,
+  CASE WHEN b.size + 4 * b.restarts + 4 >= {BLOCK_SIZE} THEN z.alone WHEN b.held = 16 THEN b.size + z.alone ELSE b.size + z.joined END,
+  CASE WHEN b.size + 4 * b.restarts + 4 >= {BLOCK_SIZE} THEN 1 WHEN b.held = 16 THEN b.restarts + 1 ELSE b.restarts END,
+  CASE WHEN b.size + 4 * b.restarts + 4 >= {BLOCK_SIZE} OR b.held = 16 THEN 1 ELSE b.held + 1 END
+ FROM b JOIN z ON z.f = b.f AND z.pos = b.pos + 1)
+"""
+
 ORACLES: dict[str, str] = {
     "get_at_snapshot": f"WITH {_H1}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS n FROM h WHERE seq <= (SELECT max(seq) // 2 FROM h)) SELECT k, seq, v FROM r WHERE n = 1 AND kind = 1",
     "latest_state": f"WITH {_H1}, {_NEW} SELECT k, seq, v FROM r WHERE n = 1 AND kind = 1",
@@ -314,14 +323,8 @@ g AS (SELECT shard, CAST(1 AS BIGINT) AS generation, min(seq) AS lo, CAST(0 AS B
  UNION ALL SELECT g.shard, g.generation + 1, n.next_seq, n.upto FROM g, LATERAL (SELECT s.next_seq, s.upto FROM s WHERE s.shard = g.shard AND s.upto - g.before >= {ROTATE_AT} ORDER BY s.upto LIMIT 1) n WHERE n.next_seq IS NOT NULL),
 e AS (SELECT *, lead(lo) OVER (PARTITION BY shard ORDER BY generation) AS following FROM g)
 SELECT e.shard, generation, lo, max(s.seq) AS hi, max(s.upto) - before AS bytes FROM e JOIN s ON s.shard = e.shard AND s.seq >= e.lo AND (following IS NULL OR s.seq < following) GROUP BY e.shard, generation, lo, before""",
-    "block_layout": f"""WITH RECURSIVE {_H1}, {_IKEYS}, {_COMMON}, z AS (SELECT f, pos, common, n, vb, {_entry("common")} AS joined, {_entry("0")} AS alone FROM p),
-b AS (SELECT f, pos, CAST(1 AS BIGINT) AS block, alone AS size, 1 AS restarts, 1 AS held FROM z WHERE pos = 1
- UNION ALL SELECT z.f, z.pos, b.block + CASE WHEN b.size + 4 * b.restarts + 4 >= {BLOCK_SIZE} THEN 1 ELSE 0 END,
-  CASE WHEN b.size + 4 * b.restarts + 4 >= {BLOCK_SIZE} THEN z.alone WHEN b.held = 16 THEN b.size + z.alone ELSE b.size + z.joined END,
-  CASE WHEN b.size + 4 * b.restarts + 4 >= {BLOCK_SIZE} THEN 1 WHEN b.held = 16 THEN b.restarts + 1 ELSE b.restarts END,
-  CASE WHEN b.size + 4 * b.restarts + 4 >= {BLOCK_SIZE} OR b.held = 16 THEN 1 ELSE b.held + 1 END
- FROM b JOIN z ON z.f = b.f AND z.pos = b.pos + 1)
-SELECT f, pos, block FROM b""",
+    "block_layout": f"{_BLOCKS} SELECT f, pos, block FROM b",
+    "table_roundtrip": f"{_BLOCKS} SELECT f, max(block) AS n_blocks, true AS same FROM b GROUP BY f",
     "as_of": f"""WITH {_H2}, q AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 19, '0') AS k, (SELECT max(seq) FROM h) * i // 4 AS "at" FROM customer, range(1, 5) t(i)),
 a AS (SELECT q.k, q."at", h.seq, h.kind, h.v FROM q ASOF LEFT JOIN h ON q.k = h.k AND q."at" >= h.seq)
 SELECT k, "at", CASE WHEN kind = 1 THEN seq END AS seq, CASE WHEN kind = 1 THEN v END AS v, CAST(coalesce(kind, 0) AS BIGINT) AS found FROM a""",

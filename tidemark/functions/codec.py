@@ -127,54 +127,64 @@ class Damage(Exception):
 
 
 def frame(records: list[bytes], offset: int = 0) -> bytes:
-    """Log bytes of the records, continuing a log that has so many bytes."""
-    out, room = bytearray(), BLOCK - offset % BLOCK
+    """Log bytes of the records, continuing a log that has so many bytes. Checksums of all fragments are made together."""
+    bodies: list[bytes] = []
+    gaps: list[int] = []  # zeros before each fragment
+    room, gap = BLOCK - offset % BLOCK, 0
     for record in records:
         left, kind = memoryview(record), FULL
         while True:
             if room < HEADER:
-                out += bytes(room)
-                room = BLOCK
+                room, gap = BLOCK, gap + room
             piece = left[: room - HEADER]
             left = left[len(piece) :]
             if left.nbytes:
                 kind = FIRST if kind == FULL else MIDDLE
             elif kind != FULL:
                 kind = LAST
-            body = bytes([kind]) + bytes(piece)
-            out += mask(crc32c(body)).to_bytes(4, "little") + len(piece).to_bytes(2, "little") + body
-            room -= HEADER + len(piece)
+            bodies.append(bytes([kind]) + bytes(piece))
+            gaps.append(gap)
+            room, gap = room - HEADER - len(piece), 0
             if not left.nbytes:
                 break
             kind = FIRST
+    out = bytearray()
+    for gap, body, crc in zip(gaps, bodies, crc32c_many(bodies).tolist(), strict=True):
+        out += bytes(gap) + mask(crc).to_bytes(4, "little") + (len(body) - 1).to_bytes(2, "little") + body
     return bytes(out)
 
 
-def unframe(log: bytes) -> Iterator[bytes]:
-    """The records of a log; Damage where it isn't whole. Padding counts only if the block's rest is zero."""
-    at, held = 0, None
+def _fragments(log: bytes) -> tuple[list[tuple[bytes, int]], str | None]:
+    """(body, stored checksum) of the fragments as their headers say, up to one that doesn't fit: then "past the end"."""
+    at, out = 0, []
     while True:
         room = min(BLOCK - at % BLOCK, len(log) - at)
         if at >= len(log) or room < HEADER and at + room >= len(log):
-            if held is not None:
-                raise Damage("truncated")
-            return
+            return out, None
         if room < HEADER or (not any(log[at : at + HEADER]) and not any(log[at : at + room])):
             at += room
             continue
-        size, kind = int.from_bytes(log[at + 4 : at + 6], "little"), log[at + 6]
+        size = int.from_bytes(log[at + 4 : at + 6], "little")
         if HEADER + size > room:
-            raise Damage("corrupt" if held is None else "truncated")
-        body = log[at + 6 : at + HEADER + size]
-        if crc32c(body) != unmask(int.from_bytes(log[at : at + 4], "little")) or kind not in (FULL, FIRST, MIDDLE, LAST):
-            raise Damage("corrupt")
-        if (held is None) == (kind in (MIDDLE, LAST)):
+            return out, "past the end"
+        out.append((log[at + 6 : at + HEADER + size], int.from_bytes(log[at : at + 4], "little")))
+        at += HEADER + size
+
+
+def unframe(log: bytes) -> Iterator[bytes]:
+    """The records of a log; Damage where it isn't whole. Padding counts only if the block's rest is zero."""
+    found, end = _fragments(log)
+    held = None
+    for (body, stored), crc in zip(found, crc32c_many([b for b, _ in found]).tolist(), strict=True):
+        kind = body[0]
+        if crc != unmask(stored) or kind not in (FULL, FIRST, MIDDLE, LAST) or (held is None) == (kind in (MIDDLE, LAST)):
             raise Damage("corrupt")
         held = (held or b"") + body[1:]
-        at += HEADER + size
         if kind in (FULL, LAST):
             yield held
             held = None
+    if end or held is not None:
+        raise Damage("corrupt" if held is None else "truncated")
 
 
 def readable(log: bytes) -> tuple[list[bytes], str]:
@@ -260,6 +270,10 @@ def crc32c_many(data: list[bytes]) -> np.ndarray:
     crc, sized = np.full(len(data), U32, np.uint32), lengths[order]
     for place in range(int(lengths.max(initial=0))):
         at = order[: np.searchsorted(-sized, -place, side="left")]
+        if len(at) <= 8:  # few long ones are left
+            for i in at:
+                crc[i] = crc32c(data[i][place:], int(crc[i]) ^ U32) ^ U32
+            break
         crc[at] = _CRC_ARRAY[(crc[at] ^ flat[start[at] + place]) & np.uint32(255)] ^ (crc[at] >> np.uint32(8))
     return crc ^ np.uint32(U32)
 
