@@ -54,6 +54,8 @@ THRESHOLD = 0.8
 FEW = 16
 #: Bytes of text that are compared at once with as many others, about.
 BLOCK = 1 << 19
+#: Members that a hub is compared with at once, at most about.
+MEMBERS = 256
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
 #: Members of a bucket, or links of a node, beyond which it is dealt out.
@@ -209,7 +211,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """
     ship(pairs.sparkSession)
     sized = pairs.join(texts.select(F.col("text_key").alias("other"), "bytes"), "other")
-    blocks = cut(sized.groupBy("hub").agg(F.ceil(F.sum("bytes") / BLOCK).alias("blocks")).withColumn("blocks", F.greatest("blocks", F.lit(1))), "blocks")
+    blocks = cut(sized.groupBy("hub").agg(F.greatest(F.ceil(F.sum("bytes") / BLOCK), F.ceil(F.count(F.lit(1)) / MEMBERS)).alias("blocks")), "blocks")
     dealt = pairs.join(small(blocks), "hub").select("hub", "other", F.pmod(F.xxhash64("other"), "blocks").alias("block"))
     others = dealt.join(texts.select(F.col("text_key").alias("other"), "text"), "other").select("hub", "block", F.col("other").alias("key"), "text")
     hubs = blocks.join(texts.select(F.col("text_key").alias("hub"), "text"), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("key"), "text")
