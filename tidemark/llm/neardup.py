@@ -477,12 +477,15 @@ def links(docs: DataFrame, distinct: DataFrame, threshold: float = THRESHOLD, fe
         wanted = _at_buckets(rest, heads).where("label != head_label").select(F.col("head.text_key").alias("hub"), F.col("text_key").alias("other"))
         tries = cut(wanted.distinct().join(done, ["hub", "other"], "left_anti").join(done.select(F.col("hub").alias("other"), F.col("other").alias("hub")), ["hub", "other"], "left_anti"), "tries")
         new = cut(verify(tries, texts, threshold), "links")
-        free(last, rest)
+        free(last)
         last, done = heads, cut(done.union(tries.select("hub", "other")), "tried")
         if is_empty(new):
             break
+        free(rest)
         edges, labels = cut(edges.union(new), "links"), merged(labels, new)
-    new = cut(_across(cut(_labelled(populous, labels), "open"), texts, threshold).distinct(), "links")
+    # no link has come since rest was made, so large buckets needn't be looked at again
+    still = _labelled(populous.where(F.col("members") <= few), labels).unionByName(rest)
+    new = cut(_across(cut(still, "open"), texts, threshold).distinct(), "links")
     free(texts, populous, done)
     return (edges, labels) if is_empty(new) else (cut(edges.union(new).distinct(), "links"), merged(labels, new))
 
