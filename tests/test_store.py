@@ -4,6 +4,7 @@ from tidemark.functions import codec
 from tidemark.operators import layout, recovery, resolve, scan
 from tidemark.plans import history, ranges
 from tidemark.sources.store import Closed, Conflict, Refused, Store
+from tidemark.sources.writer import Batch, Options, Writer
 from tidemark.streaming import state
 
 
@@ -271,3 +272,50 @@ def test_bit_flips_of_runs_are_refused(spark, tmp_path):
         except Exception:  # noqa: BLE001 - any error will do, wrong rows won't
             refused += 1
     assert refused > 0
+
+
+def test_a_writer_survives_without_closing(spark, tmp_path):
+    path = tmp_path / "db"
+    w = Writer(Store(spark, str(path)), Options(sync=True))
+    assert w.apply(Batch()) == 0 and w.apply(Batch().put("x", "first").put("x", "second").put("y", "").delete("z")) == 4
+    assert (w.get("x"), w.get("y"), w.get("z"), w.get("no")) == ("second", "", None, None) and w.delete("x") == 5
+    again = Writer(Store(spark, str(path)))  # the first one was killed
+    assert (again.get("x"), again.get("y"), again.last_seq) == (None, "", 5)
+    assert again.put("x", "third") == 6
+    again.close()
+    again.close()
+    with pytest.raises(Closed):
+        again.get("x")
+    third = Writer(Store(spark, str(path)))
+    assert third.get("x") == "third" and third.last_seq == 6 and third.store.get("x", at=4) == "second"
+    batch_ = Batch().put("a", "b")
+    batch_.reset()
+    assert len(batch_) == 0
+    assert any(n.endswith(".log") for n in third.store.vacuum()) and Writer(Store(spark, str(path))).get("x") == "third"
+
+
+def test_a_full_buffer_becomes_a_run_before_the_next_write(spark, tmp_path):
+    path = tmp_path / "db"
+    w = Writer(Store(spark, str(path)), Options(memtable_size=1000))
+    for i in range(30):
+        w.put(f"k{i % 4:04d}", f"v{i:04d}")
+    assert len(w.store.manifest.runs) == 2 and [r.rows for r in w.store.manifest.runs] == [14, 14]  # 74 bytes each
+    assert [w.get(f"k{i:04d}") for i in range(4)] == ["v0028", "v0029", "v0026", "v0027"]
+    assert [p.name for p in path.glob("*.log")] == [f"{w.store.manifest.log_number:06d}.log"]
+    assert Writer(Store(spark, str(path))).last_seq == 30
+
+
+def test_torn_logs_lose_whole_batches_from_the_end_only(spark, tmp_path):
+    for cut in (1, 64, 501, 3000):
+        path = tmp_path / f"db{cut}"
+        w = Writer(Store(spark, str(path)))
+        for i in range(300):
+            w.put(f"k{i:04d}", f"v{i:04d}")
+        w.close()
+        log = next(path.glob("*.log"))
+        data = log.read_bytes()
+        log.write_bytes(data[:-cut])
+        again = Writer(Store(spark, str(path)))
+        survivors = sorted(r["k"] for r in again.store.scan().collect())
+        assert survivors == [f"k{i:04d}" for i in range(len(survivors))] and again.last_seq == len(survivors)
+        assert len(survivors) == 300 - -(-cut // (len(data) // 300))

@@ -226,12 +226,17 @@ class Store:
         sequence number. Doing it again changes nothing."""
         self._open()
         found = replay(logs.where(F.col("number") >= self.manifest.log_number)).where(F.col("seq") > self.manifest.last_seq)
-        run = self._write_run(found.select("k", "seq", "kind", "v"), self.manifest.next_file, 0)
         numbers = logs.agg(F.max("number")).first()[0]
-        after = max(self.manifest.log_number, (numbers or 0) + 1)
+        return self.add_run(found.select("k", "seq", "kind", "v"), max(self.manifest.log_number, (numbers or 0) + 1))
+
+    def add_run(self, rows: DataFrame, log_number: int) -> int:
+        """Publish rows (SCHEMA) that have their sequence numbers as a run, and that logs before log_number are in runs; the new
+        last sequence number. No rows change nothing."""
+        self._open()
+        run = self._write_run(rows, self.manifest.next_file, 0)
         if run.rows:
             last = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{run.name}").agg(F.max("seq")).first()[0]
-            self._publish(self._next([*self.manifest.runs, run], 1, last, log_number=after))
+            self._publish(self._next([*self.manifest.runs, run], 1, last, log_number=log_number))
         return self.manifest.last_seq
 
     def compact(self, oldest: int | None = None) -> None:
@@ -249,7 +254,8 @@ class Store:
         self._open()
         keep = {"CURRENT", f"MANIFEST-{self.manifest.number:06d}", *(r.name for r in self.manifest.runs)}
         names = [s.getPath().getName() for s in self._fs.listStatus(self._at(""))]
-        known = [n for n in names if n.startswith("MANIFEST-") or n.endswith((".run", ".tmp"))]
+        old_logs = [n for n in names if n.endswith(".log") and n[:-4].isdigit() and int(n[:-4]) < self.manifest.log_number]
+        known = old_logs + [n for n in names if n.startswith("MANIFEST-") or n.endswith((".run", ".tmp"))]
         gone = sorted(n for n in known if n not in keep)
         for n in gone:
             self._fs.delete(self._at(n), True)
