@@ -209,6 +209,10 @@ def test_a_stream_of_logs_restarts_where_it_was(spark, tmp_path):
     assert run() == [("a", 3, "new"), ("b", 4, None)]
     log(1, 1, [(1, b"a", b"late"), (1, b"c", b"x")])  # older writes that come late
     assert run() == run() == [("a", 3, "new"), ("b", 4, None), ("c", 2, "x")]
+    state.compact(spark, out)
+    assert len(list((tmp_path / "state" / "state").iterdir())) == 1
+    log(3, 5, [(1, b"b", b"back")])
+    assert run() == [("a", 3, "new"), ("b", 5, "back"), ("c", 2, "x")]
 
 
 def test_as_of(spark):
