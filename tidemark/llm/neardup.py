@@ -55,7 +55,7 @@ FEW = 16
 #: Bytes of text that are compared at once with as many others, about.
 BLOCK = 1 << 19
 #: Members that a hub is compared with at once, at most about.
-MEMBERS = 256
+MEMBERS = 64
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
 #: Members of a bucket, or links of a node, beyond which it is dealt out.
