@@ -47,7 +47,7 @@ class WordEncoder:
     with characters outside plain Latin go through the tokenizer itself.
     """
 
-    def __init__(self, path: str, most_words: int = 200_000):
+    def __init__(self, path: str, most_words: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

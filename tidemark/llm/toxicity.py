@@ -118,7 +118,7 @@ class ToxicityModel:
         """The features of a word that have weight; remembered for a bounded number of words."""
         got = self._of_word.get(word)
         if got is None:
-            if len(self._of_word) > 100_000:
+            if len(self._of_word) > 50_000:
                 self._of_word.clear()
             got = self._of_word[word] = tuple(f for f in word_features(word) if f in self.weights)
         return got
