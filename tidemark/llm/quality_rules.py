@@ -40,7 +40,7 @@ class Rule:
 
 RULES = (
     Rule("symbols", "100 * n_symbols < n_words", "10 * n_symbols > n_words"),
-    Rule("letters", "100 * n_letters > 90 * word_chars", "100 * n_letters < 80 * word_chars"),
+    Rule("letters", "10 * n_others < word_chars", "5 * n_others > word_chars"),
     Rule("plain_words", "100 * n_plain > 85 * n_words", "100 * n_plain < 65 * n_words"),
     Rule("capitals", "10 * n_upper < word_chars", "10 * n_upper > 3 * word_chars"),
     Rule("marks", "50 * n_marks < n_words", "5 * n_marks > n_words"),
@@ -64,7 +64,7 @@ def measure(docs: DataFrame) -> DataFrame:
         stats.duplicate_lines(t).alias("n_dup_lines"),
         stats.repeated_words(h).alias("n_repeat_words"),
         stats.stutters(h).alias("n_stutters"),
-        *[plain[k].alias(k) for k in ("n_symbols", "n_lines", "n_upper", "n_marks", "n_pipes", "n_letters", "n_plain")],
+        *[plain[k].alias(k) for k in ("n_symbols", "n_lines", "n_upper", "n_marks", "n_pipes", "n_others", "n_plain")],
     )
 
 

@@ -22,7 +22,7 @@ def counts(text: Column) -> dict[str, Column]:
         "n_digits": F.regexp_count(text, F.lit("[0-9]")),
         "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")),
         "n_stops": F.regexp_count(text, F.lit(r"[.,;:]")),
-        "n_letters": F.regexp_count(text, F.lit(r"\p{L}")),
+        "n_others": F.regexp_count(text, F.lit(r"[^\p{L}\x20\x09-\x0D]")),
         "n_plain": F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])\p{L}++[.,;:!?]?(?![^\x20\x09-\x0D])")),
         "n_pipes": F.regexp_count(text, F.lit(r"[|•]|\n[-*] ")),
     }
