@@ -426,5 +426,31 @@ def test_pseudonyms_of_world_formats(spark):
     assert re.fullmatch(r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", alone["15.01.2024"]) and alone["2024-01-15T10:00:00Z"].endswith("T10:00:00Z")
 
 
+def test_pseudonyms_of_overlapping_values_by_strictness(spark):
+    # the stricter of two shapes is taken although the other starts before it, whatever else the text holds
+    rows = [
+        ("date", "2024-01-15", "+49 {}"), ("date", "15.01.2024", "+44 {}"), ("ssn", "123-45-6789", "+33 {}"), ("ip", "10.20.30.40", "+49 {}"), ("card", "4222222222222", "+49 {}"),
+        ("email", "1999@example.com", "12/31/{}"), ("email", "555-0100_x@ex.org", "(415) {}"), ("card", "4539 1488 0343 6467", "{} 123"), ("card", "4539-1488-0343-6467", "{} 123"),
+    ]
+    assert luhn("4539148803436467123") and luhn("4539148803436467")
+    texts = [(k, v, a, more.format(a.format(v))) for k, v, a in rows for more in ("{}", "{}\n999.1.1.1", "mail b@ex.org, {}")] + [(k, v, "{}", v) for k, v, _ in rows]
+    got = pii.pseudonymise(spark.createDataFrame(texts, "kind string, own string, frame string, old string").withColumn("text", F.col("old"))).collect()
+    alone = {r["own"]: r["text"] for r in got if r["frame"] == "{}"}
+    for r in got:
+        others = {k: r[f"n_{k}"] for k in pii.KINDS if r[f"n_{k}"]}
+        mail = int(r["old"].startswith("mail"))
+        assert others == dict(Counter({r["kind"]: 1}) + Counter({"email": mail})), (r, others)
+        assert r["frame"].format(alone[r["own"]]) in r["text"], r
+
+
+def test_pseudonyms_of_many_values_in_one_text(spark):
+    values = ["ab.c9@example.com", "GB82 WEST 1234 5698 7654 32", "10.2.3.4", "123-45-6789", "2024-01-15", "4539 1488 0343 6467", "415-555-0100"]
+    line = "; ".join(values)
+    got = {r["i"]: r for r in pii.pseudonymise(spark.createDataFrame([(1, line), (2, "\n".join([line] * 300)), (3, "\n".join([line, "999.1.1.1"] * 30))], "i long, text string")).collect()}
+    assert [got[1][f"n_{k}"] for k in pii.KINDS] == [1] * 7 and all(v not in got[1]["text"] for v in values)
+    assert got[2]["text"] == "\n".join([got[1]["text"]] * 300) and [got[2][f"n_{k}"] for k in pii.KINDS] == [300] * 7
+    assert got[3]["text"] == "\n".join([got[1]["text"], "999.1.1.1"] * 30) and [got[3][f"n_{k}"] for k in pii.KINDS] == [30] * 7
+
+
 def test_digest():
     assert hashlib.sha256(b"ab").hexdigest().startswith("fb8e20fc")

@@ -344,13 +344,32 @@ def _valid_start(m: Column, kind: str, sizes: tuple[int, ...]) -> Column:
     return F.coalesce(*[of(n) for n in sizes])
 
 
+def _open(t: Column) -> Column:
+    return F.struct(t.alias("t"), F.lit(None).cast("string").alias("k"))
+
+
 def _search(segment: Column, kind: str, pattern: str, sizes: tuple[int, ...]) -> Column:
     """An open segment cut into valid values of the shape and what lies between them.
 
     Every place where the shape starts is tried, also inside of a match that isn't valid; of valid values that
-    overlap, the leftmost is taken.
+    overlap, the leftmost is taken. Where each leftmost match is a valid value as it is, they are just that.
     """
     before, after = _around(kind)
+    shape = f"{before}{pattern}{after}"
+    matches = F.regexp_extract_all(segment["t"], F.lit(shape), F.lit(0))
+
+    def as_matched(m: Column) -> Column:
+        return F.flatten(F.zip_with(F.split(segment["t"], shape, -1), m, lambda p, v: F.when(v.isNull(), F.array(_open(p))).otherwise(F.array(_open(p), F.struct(v.alias("t"), F.lit(kind).alias("k"))))))
+
+    def cut(m: Column) -> Column:
+        return F.when(F.forall(m, lambda v: v.eqNullSafe(_valid_start(v, kind, sizes))), as_matched(m)).otherwise(_everywhere(segment, kind, pattern, sizes))
+
+    return F.when(segment["k"].isNull() & segment["t"].rlike(shape), once(matches, cut)).otherwise(F.array(segment))
+
+
+def _everywhere(segment: Column, kind: str, pattern: str, sizes: tuple[int, ...]) -> Column:
+    """The cut of _search with every place tried one by one."""
+    before, after = _around(kind)
     # the text is cut at these places, so the lengths of pieces tell how much of a value lies in the next ones
     starts = F.regexp_extract_all(segment["t"], F.lit(f"{before}(?=({pattern}){after})"), F.lit(1))
     values = F.transform(starts, lambda m: _valid_start(m, kind, sizes))
@@ -366,17 +385,17 @@ def _search(segment: Column, kind: str, pattern: str, sizes: tuple[int, ...]) ->
             taken = (s["skip"] == 0) & x["v"].isNotNull()
             skip = F.when(taken, F.length(x["v"])).otherwise(s["skip"])
             rest = F.substring(x["p"], skip + 1, F.length(x["p"]))
-            found = F.array(F.struct(s["open"].alias("t"), F.lit(None).cast("string").alias("k")), F.struct(x["v"].alias("t"), F.lit(kind).alias("k")))
+            found = F.array(_open(s["open"]), F.struct(x["v"].alias("t"), F.lit(kind).alias("k")))
             return F.struct(
                 F.when(taken, rest).otherwise(F.concat(s["open"], rest)).alias("open"),
                 F.greatest(skip - F.length(x["p"]), F.lit(0)).alias("skip"),
                 F.when(taken, F.concat(s["out"], found)).otherwise(s["out"]).alias("out"),
             )
 
-        last = F.aggregate(F.zip_with(led, v, lambda p, m: F.struct(p.alias("p"), m.alias("v"))), zero, step, lambda s: F.concat(s["out"], F.array(F.struct(s["open"].alias("t"), F.lit(None).cast("string").alias("k")))))
+        last = F.aggregate(F.zip_with(led, v, lambda p, m: F.struct(p.alias("p"), m.alias("v"))), zero, step, lambda s: F.concat(s["out"], F.array(_open(s["open"]))))
         return F.when(F.exists(v, lambda x: x.isNotNull()), last).otherwise(F.array(segment))
 
-    return F.when(segment["k"].isNull() & segment["t"].rlike(f"{before}{pattern}{after}"), once(values, settle)).otherwise(F.array(segment))
+    return once(values, settle)
 
 
 def _searcher(kind: str, pattern: str, sizes: tuple[int, ...]) -> Callable[[Column], Column]:
@@ -385,38 +404,16 @@ def _searcher(kind: str, pattern: str, sizes: tuple[int, ...]) -> Callable[[Colu
 
 def segments(text: Column) -> Column:
     """The text as an array of (t, k): values of kind k, and what lies between them with a null k."""
-    out = F.array(F.struct(text.alias("t"), F.lit(None).cast("string").alias("k")))
+    out = F.array(_open(text))
     for kind, pattern, sizes in SHAPES:
         out = F.flatten(F.transform(out, _searcher(kind, pattern, sizes)))
     return out
 
 
-def kind_of(m: Column) -> Column:
-    """The kind of a match that is valid as a whole and isn't a card of unusual groups, else null."""
-    out = F.lit(None).cast("string")
-    for kind, pattern, _ in reversed([x for x in SHAPES if x[1] not in (GROUPED, LOOSE)]):
-        out = F.when(m.rlike(f"^(?:{pattern})$"), F.when(VALID[kind](m), F.lit(kind)).otherwise(out)).otherwise(out)
-    return out
-
-
-def plain_segments(text: Column) -> Column:
-    """segments, found with one search where that can't differ: all matches are valid, and no digits stand beside one."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("t"), kind_of(m).alias("k")))
-    marked = F.array_join(F.split(text, ANY, -1), "\x01")
-    beside = marked.rlike(r"\x01[ ()./+-]{0,3}[0-9\x01]|[0-9][ ()./+-]{0,3}\x01")
-
-    def of(v: Column) -> Column:
-        between = F.transform(F.split(text, ANY, -1), lambda p: F.struct(p.alias("t"), F.lit(None).cast("string").alias("k")))
-        apart = F.flatten(F.zip_with(between, v, lambda p, m: F.array(p, F.struct(m["t"].alias("t"), m["k"].alias("k")))))
-        return F.when(F.forall(v, lambda x: x["k"].isNotNull()) & ~beside, apart).otherwise(segments(text))
-
-    return once(found, of)
-
-
 def pseudonymise(docs: DataFrame, key: str = "tidemark") -> DataFrame:
     """docs with its text rewritten, and n_<kind> for each kind: how many values were replaced."""
     t = F.col("text")
-    own = aside(docs, "text").withColumn("_found", F.when(t.rlike(r"[0-9@]") & t.rlike(ANY), plain_segments(t)))
+    own = aside(docs, "text").withColumn("_found", F.when(t.rlike(r"[0-9@]") & t.rlike(ANY), segments(t)))
     pieces = F.transform(F.col("_found"), lambda s: F.when(s["k"].isNull(), s["t"]).otherwise(pseudonym(s["t"], s["k"], key)))
     counts = {f"n_{k}": F.coalesce(F.size(F.filter(F.col("_found.k"), _is(k))), F.lit(0)).cast("long") for k in KINDS}
     found = own.withColumns({"text": F.when(F.col("_found").isNull(), t).otherwise(F.array_join(pieces, "")), **counts})
